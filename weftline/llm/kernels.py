@@ -126,3 +126,34 @@ def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
                 yield combine(words[a:b], int(b - a))
             else:
                 yield np.zeros(0, np.uint64)
+
+
+_KIND = np.full(256, 2, np.uint8)
+_KIND[SEPARATOR] = 0
+_KIND[0x80:] = 1
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+
+
+def hashed_ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets below 2 ** bits of a chunk's unigrams and bigrams, and the bounds of each row's.
+
+    Tokens are runs of letters and digits (all of non-ASCII counts as letters) and runs of other signs.
+    """
+    starts, ends = runs(_KIND[data], offsets)
+    tokens = span_hash(prefix_hash(data), starts, ends)
+    bounds = rows_of(starts, offsets)
+    pairs = combine(tokens, 2)
+    pairs[tokens[1:] == tokens[:-1]] = 1  # any token twice running is one bigram: "the one before, again"
+    out = np.zeros((len(tokens), 2), np.uint64)
+    out[:, 0] = tokens
+    out[:-1, 1] = pairs
+    last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
+    out[last, 1] = tokens[last] + np.uint64(1)  # a row's last token meets the row's end
+    return (mix(out.ravel()) >> np.uint64(64 - bits)).astype(np.int64), bounds * 2
+
+
+def row_means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The mean of each row's values; 0 for a row without any."""
+    sums = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
+    counts = np.diff(bounds)
+    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts, 1)
