@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "quality_rules", "quality_classifier", "fingerprints"]
+MODULES = ["ngram_join", "quality_rules", "piece_codec", "quality_classifier", "fingerprints"]
 
 
 def queries() -> dict:
