@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_counts", "ngram_join", "quality_rules", "chat_format", "url_filter", "secrets", "piece_codec", "quality_classifier", "fingerprints"]
+MODULES = ["token_counts", "ngram_join", "quality_rules", "chat_format", "mixing", "url_filter", "secrets", "piece_codec", "quality_classifier", "fingerprints"]
 
 
 def queries() -> dict:
