@@ -33,6 +33,10 @@ from weftline.llm.kernels import shingle_sets
 RANGE_BYTES = 24 << 20
 #: Sets that are compared or walked in one task; larger groups go block by block.
 BLOCK = 2000
+#: A table of so many large groups may be broadcast (12 bytes each).
+MOST_BROADCAST = 200_000
+#: Bits of a bitmap at most; larger sets are told apart by fewer bits than n-grams.
+MOST_BITS = 2048
 
 _U64 = np.dtype("<u8")
 
@@ -44,7 +48,7 @@ def _need(size: int, percent: int) -> int:
 
 def _bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
     """Parity of the n-grams by bit; as many bits as the power of two above the set's size, so that bitmaps fold."""
-    bits = max(256, min(1 << int(size).bit_length(), 1 << 16))
+    bits = max(256, min(1 << int(size).bit_length(), MOST_BITS))
     odd = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little")
 
@@ -337,8 +341,9 @@ def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 def _blocked(df: DataFrame, key: str, width: int) -> DataFrame:
     """Adds lo and hi, the two blocks that meet. Only groups of more than `width` rows have more than one block."""
-    large = df.groupBy(key).count().where(F.col("count") > width).select(key, F.ceil(F.col("count") / width).cast("int").alias("blocks"))
-    df = df.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    large = df.groupBy(key).count().where(F.col("count") > width).select(key, F.ceil(F.col("count") / width).cast("int").alias("blocks")).checkpoint()
+    few = F.broadcast if large.count() <= MOST_BROADCAST else (lambda x: x)
+    df = df.join(few(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return df.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "own", "other")
 
