@@ -389,3 +389,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
+
+ORACLE_SQL = {
+    "op2_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (
+  select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as gram from w),
+n as (select doc_id, count(*) as size from g group by doc_id),
+classes as (select doc_id, min(doc_id) over (partition by h) as rep from (select doc_id, md5(string_agg(gram, chr(10) order by gram)) as h from g group by doc_id)),
+s as (select g.doc_id, gram from g join classes c on c.doc_id = g.doc_id and c.rep = g.doc_id),
+pairs as (select a.doc_id as u, b.doc_id as v, count(*) as shared from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from pairs join n a on a.doc_id = u join n b on b.doc_id = v where 100 * shared >= 80 * (a.size + b.size - shared)),
+sides as (select u, v from links union select v, u from links union select doc_id, rep from classes union select rep, doc_id from classes),
+reach(d, m) as (select doc_id, doc_id from w union select reach.d, sides.v from reach join sides on reach.m = sides.u)
+select d as doc_id, coalesce(size, 0)::bigint as n_shingles, min(m) as component_id from reach left join n on n.doc_id = d group by d, size
+"""
+}

@@ -20,8 +20,8 @@ from weftline.llm.kernels import SEPARATOR, chunks, combine, hashed_ngrams, mix,
 BITS = 14
 #: Below this mean log-ratio a text is not kept. A text like the raw corpus itself has 0.
 THRESHOLD = -0.1
-#: Labelled rows that the trusted corpus is made of at most, those with the least hash of their id.
-MAX_TRUSTED = 50_000
+#: So many ids of trusted rows may be broadcast (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 #: The signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -96,11 +96,12 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
-    """log p_target - log p_raw by bucket, both with one added to each count. Without trusted rows all are 0."""
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> np.ndarray:
+    """log p_target - log p_raw by bucket over all rows, both with one added to each count. Without trusted rows all are 0."""
     prepared(docs.sparkSession)
-    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "_id", "left")
+    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
+    few = F.broadcast if ids.count() <= MOST_BROADCAST else (lambda x: x)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(few(ids.withColumn("trusted", F.lit(True))), "_id", "left")
     counted = rows.select("trusted", "text").mapInArrow(_count(bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(1 << bits), np.ones(1 << bits)
     for bucket, r, t in counted.collect():  # 2 ** bits rows at most
@@ -127,12 +128,12 @@ def _measures(spark: SparkSession, ratios: np.ndarray, text: Column) -> Column:
     return F.arrow_udf(measure, ", ".join(f"{f} long" for f in _FIELDS) + ", log_ratio double")(text)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """Id, counts, log_ratio, base_failed and kept of every row; trusted holds the ids of the target corpus.
 
     A null or wordless text has no words, a ratio of 0, and fails the base. Rows may repeat; other columns are not read.
     """
-    ratios = log_ratios(docs, trusted, id_col, text_col, bits, max_trusted)
+    ratios = log_ratios(docs, trusted, id_col, text_col, bits)
     out = docs.select(F.col(id_col), _measures(docs.sparkSession, ratios, F.col(text_col).cast("string")).alias("m")).select(id_col, "m.*")
     out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
