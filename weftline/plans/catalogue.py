@@ -35,14 +35,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Customers and suppliers by nation, nation 3 made null."""
-    left = _read(spark, sf_dir, "customer").selectExpr("nullif(c_nationkey, 3) as k", "c_custkey", "c_acctbal").where("c_custkey % 10 = 0")
-    right = _read(spark, sf_dir, "supplier").selectExpr("nullif(s_nationkey, 3) as k", "s_suppkey", "s_acctbal")
+    """Orders and customers by customer; some keys are null on either side."""
+    left = _read(spark, sf_dir, "orders").selectExpr("nullif(o_custkey, 7) as k", "o_orderkey", "o_totalprice")
+    right = _read(spark, sf_dir, "customer").selectExpr("nullif(c_custkey, 11) as k", "c_name", "c_acctbal")
     return left, right
 
 
-_SIDES = """with l as (select nullif(c_nationkey, 3) as k, c_custkey, c_acctbal from customer where c_custkey % 10 = 0),
-r as (select nullif(s_nationkey, 3) as k, s_suppkey, s_acctbal from supplier) """
+_SIDES = """with l as (select nullif(o_custkey, 7) as k, o_orderkey, o_totalprice from orders),
+r as (select nullif(c_custkey, 11) as k, c_name, c_acctbal from customer) """
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -51,17 +51,18 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def _joined(name: str, kind: str, sql: str) -> None:
-    @_query(name, _SIDES + f"select * replace ({{}}) from ({sql})".format(", ".join(f"{c}::varchar as {c}" for c in (["k", "c_custkey"] if kind in ("semi", "anti") else ["k", "c_custkey", "s_suppkey"]))))
+    @_query(name, _SIDES + f"select * replace (k::varchar as k, o_orderkey::varchar as o_orderkey) from ({sql})")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _texts(verbs.join(*_sides(spark, sf_dir), kind, ["k"]))
 
 
-_joined("join_inner", "inner", "select k, c_custkey, c_acctbal, s_suppkey, s_acctbal from l join r using (k)")
+_BOTH = "select k, o_orderkey, o_totalprice, c_name, c_acctbal from l"
+_joined("join_inner", "inner", f"{_BOTH} join r using (k)")
 _joined("join_left_semi", "semi", "select * from l where exists (select 1 from r where r.k = l.k)")
 _joined("join_left_anti", "anti", "select * from l where not exists (select 1 from r where r.k = l.k)")
-_joined("join_left_outer", "left", "select k, c_custkey, c_acctbal, s_suppkey, s_acctbal from l left join r using (k)")
-_joined("join_right_outer", "right", "select k, c_custkey, c_acctbal, s_suppkey, s_acctbal from l right join r using (k)")
-_joined("join_full_outer", "full", "select k, c_custkey, c_acctbal, s_suppkey, s_acctbal from l full join r using (k)")
+_joined("join_left_outer", "left", f"{_BOTH} left join r using (k)")
+_joined("join_right_outer", "right", f"{_BOTH} right join r using (k)")
+_joined("join_full_outer", "full", f"{_BOTH} full join r using (k)")
 
 
 @_query("join_nan_keys", "select o_orderkey, k, n_name from (select o_orderkey, nullif(o_custkey % 40, 7)::double as k from orders) left join (select nullif(n_nationkey, 5)::double as k, n_name from nation) using (k)")
