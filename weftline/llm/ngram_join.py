@@ -54,12 +54,20 @@ def _bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
 
 
 def _exchange_schema() -> str:
-    return "r int, bid long, tokens binary, counts binary, known binary, known_counts binary, meta binary"
+    return "r int, bid long, tokens binary, owners binary, known binary, known_owners binary, meta binary"
 
 
-def _by_owner(tokens: np.ndarray, owner: np.ndarray, classes: int) -> tuple[bytes, bytes]:
-    """Tokens in their owners' order and how many each owner has."""
-    return tokens.tobytes(), np.bincount(owner, minlength=classes).astype(np.uint32).tobytes()
+def _by_owner(tokens: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
+    """Tokens in their owners' order and the steps from owner to owner: a byte a token, or four where a step is large.
+
+    So a row's bytes follow its tokens, however few of a batch's n-grams a range gets.
+    """
+    steps = np.diff(owner, prepend=0)
+    return tokens.tobytes(), steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _owners(steps: bytes, tokens: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8 if len(steps) == tokens else np.uint32), dtype=np.int64)
 
 
 def _send(n: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -77,7 +85,7 @@ def _send(n: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                     kept.append(grams)
                 of_doc.append(place[key] if len(grams) else -1)
                 sizes.append(len(grams))
-            meta = pickle.dumps((np.asarray(batch.column(0).cast(pa.int64())), np.array(of_doc), np.array(sizes), list(place)))
+            meta = pickle.dumps((batch.column(0).to_pylist(), of_doc, sizes, list(place)))
             tokens = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
             order = np.argsort(tokens, kind="stable")
@@ -90,13 +98,13 @@ def _send(n: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             target[known] = (owner[known] + no + part) % ranges
             by_target = np.argsort(target, kind="stable")
             bounds = np.searchsorted(target[by_target], np.arange(ranges + 1))
+            home = (no + part) % ranges  # the range that also gets the batch's documents
             out: list[tuple] = []
-            for r in range(ranges):
+            for r in sorted({home, *np.flatnonzero(np.diff(bounds)).tolist()}):
                 own = by_target[bounds[r] : bounds[r + 1]]
-                if len(own) or r == (no + part) % ranges:
-                    new, old = own[~known[own]], own[known[own]]
-                    out.append((r, part << 32 | no, *_by_owner(tokens[new], owner[new], len(kept)), *_by_owner(tokens[old], owner[old], len(kept)), meta if r == (no + part) % ranges else None))
-            yield _batch(out, "r:i,bid:l,tokens:b,counts:b,known:b,known_counts:b,meta:b")
+                new, old = own[~known[own]], own[known[own]]
+                out.append((r, part << 32 | no, *_by_owner(tokens[new], owner[new]), *_by_owner(tokens[old], owner[old]), meta if r == home else None))
+            yield _batch(out, "r:i,bid:l,tokens:b,owners:b,known:b,known_owners:b,meta:b")
 
     return run
 
@@ -122,10 +130,6 @@ def _u64(x: bytes) -> np.ndarray:
     return np.frombuffer(x, _U64)
 
 
-def _counts(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint32).astype(np.int64)
-
-
 def _shared_in_range(rows: pa.Table) -> pa.Table:
     """Of one hash range's n-grams those that two sets or more have, to the batches that sent them."""
     sent = [_u64(x) for x in rows["tokens"].to_pylist()]
@@ -134,17 +138,15 @@ def _shared_in_range(rows: pa.Table) -> pa.Table:
     again = ordered[1:][ordered[1:] == ordered[:-1]]
     shared = np.isin(every, again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again)
     out, at = [], 0
-    for row, tokens in zip(rows.select(["bid", "counts", "known", "known_counts", "meta"]).to_pylist(), sent, strict=True):
-        counts, known_counts = _counts(row["counts"]), _counts(row["known_counts"])
-        classes = len(counts)
-        mask = shared[at : at + len(tokens)]
+    for row, tokens in zip(rows.select(["bid", "owners", "known", "known_owners", "meta"]).to_pylist(), sent, strict=True):
+        mask, known = shared[at : at + len(tokens)], _u64(row["known"])
         at += len(tokens)
-        owner = np.r_[np.repeat(np.arange(classes), counts)[mask], np.repeat(np.arange(classes), known_counts)]
-        found = np.r_[tokens[mask], _u64(row["known"])]
+        owner = np.r_[_owners(row["owners"], len(tokens))[mask], _owners(row["known_owners"], len(known))]
+        found = np.r_[tokens[mask], known]
         order = np.argsort(owner, kind="stable")
         if len(found) or row["meta"] is not None:
-            out.append((row["bid"], *_by_owner(found[order], owner, classes), row["meta"]))
-    return _table(out, "bid:l,tokens:b,counts:b,meta:b")
+            out.append((row["bid"], *_by_owner(found[order], owner[order]), row["meta"]))
+    return _table(out, "bid:l,tokens:b,owners:b,meta:b")
 
 
 def _survivors_of_batch(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -153,12 +155,13 @@ def _survivors_of_batch(percent: int) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
         docs, of_doc, sizes, prints = pickle.loads(next(r["meta"] for r in rows if r["meta"] is not None))
-        tokens = np.concatenate([_u64(r["tokens"]) for r in rows])
-        owner = np.concatenate([np.repeat(np.arange(len(prints)), _counts(r["counts"])) for r in rows]) if prints else np.zeros(0, np.int64)
+        sent = [_u64(r["tokens"]) for r in rows]
+        tokens = np.concatenate(sent)
+        owner = np.concatenate([_owners(r["owners"], len(t)) for r, t in zip(rows, sent, strict=True)])
         order = np.lexsort((tokens, owner))
         tokens, bounds = tokens[order], np.searchsorted(owner[order], np.arange(len(prints) + 1))
         out, seen = [], set()
-        for doc, k, size in zip(docs.tolist(), of_doc.tolist(), sizes.tolist(), strict=True):
+        for doc, k, size in zip(docs, of_doc, sizes, strict=True):
             found = None
             if k >= 0 and k not in seen:
                 seen.add(k)
@@ -360,7 +363,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranges = max(4, -(-text_bytes(docs) // RANGE_BYTES))
     sent = docs.mapInArrow(_send(n, ranges), _exchange_schema())
-    back = sent.groupBy("r").applyInArrow(_shared_in_range, "bid long, tokens binary, counts binary, meta binary")
+    back = sent.groupBy("r").applyInArrow(_shared_in_range, "bid long, tokens binary, owners binary, meta binary")
     sets = back.groupBy("bid").applyInArrow(_survivors_of_batch(percent), "doc_id long, n_shingles long, fp binary, tokens binary").checkpoint()
 
     own = sets.where("tokens is not null").select("fp", "n_shingles", "tokens").dropDuplicates(["fp"])
