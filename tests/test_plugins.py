@@ -1,0 +1,213 @@
+import importlib.metadata
+import pickle
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any, Dict, List
+
+import pandas as pd
+import pytest
+
+from weftline.errors import InvalidOperationError
+from weftline.plugins import dispatch
+from weftline.plugins.dispatch import Dispatcher, RunOnce, SerializableRLock, conditional_broadcaster, conditional_dispatcher, load_entry_point, run_at_def, run_once
+from weftline.plugins.methods import extensible_class, extension_method
+from weftline.plugins.signatures import FunctionWrapper, Param, function_wrapper
+
+
+@conditional_dispatcher
+def kind_of(x):
+    return "default"
+
+
+@kind_of.candidate(lambda x: isinstance(x, int))
+def _kind_int(x):
+    return "int"
+
+
+def is_big(x):
+    return x > 10
+
+
+def big(x):
+    return "big"
+
+
+def default(x):
+    return "none"
+
+
+def test_first_match_runs_and_raising_conditions_do_not_match():
+    assert kind_of(1) == "int" and kind_of("a") == "default"
+    own = Dispatcher(default)
+    own.register(big, is_big)
+    assert own(11) == "big" and own("a") == own(1) == "none"
+
+
+def test_priorities():
+    own = Dispatcher(default, every=True)
+    for name, priority in (("a", 1), ("b", 1), ("c", 0), ("d", 0), ("e", 3), ("f", -1)):
+        own.register(lambda x, n=name: n, lambda x: True, priority)
+    assert own(0) == ["e", "b", "a", "c", "d", "f"]
+
+
+def test_broadcast_runs_all_and_the_default_only_alone():
+    @conditional_broadcaster
+    def every(x):
+        return 0
+
+    every.register(lambda x: 1, lambda x: x > 0)
+    every.register(lambda x: 2, lambda x: x > 1)
+    assert sorted(every(2)) == [1, 2] and every(1) == [1] and every(0) == [0]
+
+
+def test_dispatchers_are_pickled_with_candidates():
+    own = Dispatcher(default)
+    own.register(big, is_big)
+    assert pickle.loads(pickle.dumps(own))(20) == "big"
+
+
+def test_entry_points_load_once(monkeypatch):
+    calls = []
+
+    class Point:
+        def __init__(self, name, found):
+            self.name, self._found = name, found
+
+        def load(self):
+            if self._found is None:
+                raise ImportError(self.name)
+            return self._found
+
+    monkeypatch.setattr(importlib.metadata, "entry_points", lambda group: [Point("bad", None), Point("ok", lambda: calls.append(group)), Point("data", 3)])
+    monkeypatch.setattr(dispatch, "_loaded", set())
+    load_entry_point("g")
+    load_entry_point("g")
+    load_entry_point(None)
+    assert calls == ["g"]
+
+
+def test_run_at_def():
+    seen = []
+
+    @run_at_def(x=3)
+    def f(x=1):
+        seen.append(x)
+
+    @run_at_def
+    def g():
+        seen.append("g")
+
+    assert seen == [3, "g"] and f is not None and g is not None
+
+
+def test_locks_are_pickled():
+    lock = pickle.loads(pickle.dumps(SerializableRLock()))
+    with lock, lock:
+        pass
+
+
+def plus(x, y=0):
+    return x + y
+
+
+def test_run_once_under_threads():
+    seen, lock = [], threading.Lock()
+
+    @run_once
+    def slow(x):
+        with lock:
+            seen.append(x)
+        return x * 2
+
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(slow, [1, 2] * 20)) == [2, 4] * 20
+    assert sorted(seen) == [1, 2]
+
+
+def test_run_once_keys_and_pickling():
+    once = RunOnce(plus, key_func=lambda x, y=0: x)
+    assert once(1, y=1) == 2 and once(1, y=5) == 2
+    bare = pickle.loads(pickle.dumps(RunOnce(plus)))
+    assert bare(1) == 1 and bare([1], y=[2]) == [1, 2]
+
+
+def test_attached_methods():
+    @extensible_class
+    class Thing:
+        def own(self):
+            return "own"
+
+    @extension_method
+    def twice(self: Thing):
+        return self.own() * 2
+
+    assert Thing().twice() == "ownown"
+    extension_method(lambda self: 1, class_type=Thing, name="one")
+    assert Thing().one() == 1
+    with pytest.raises(ValueError):
+        extension_method(lambda self: 2, class_type=Thing, name="one")
+    extension_method(lambda self: 2, class_type=Thing, name="one", on_dup="ignore")
+    assert Thing().one() == 1
+    extension_method(lambda self: 2, class_type=Thing, name="one", on_dup="overwrite")
+    assert Thing().one() == 2
+    for kw in ({"class_type": Thing, "name": "own", "on_dup": "overwrite"}, {"class_type": int, "name": "x"}, {"class_type": Thing, "name": "one", "on_dup": "?"}, {"name": "x"}):
+        with pytest.raises(ValueError):
+            extension_method(lambda self: 0, **kw)
+
+
+@function_wrapper(None)
+class Wrapper(FunctionWrapper):
+    pass
+
+
+@Wrapper.annotated_param(pd.DataFrame, "d")
+class FrameParam(Param):
+    pass
+
+
+@Wrapper.annotated_param(List[Dict[str, Any]], "l", child_can_reuse_code=True)
+class ListParam(Param):
+    pass
+
+
+@Wrapper.annotated_param(list[list[Any]], "l")
+class ListsParam(ListParam):
+    pass
+
+
+def test_codes_of_signatures():
+    def f(a: pd.DataFrame, b: list[dict[str, Any]], c, d: int = 1, *e, **g) -> pd.DataFrame: ...
+
+    def g(self, a: list[list[Any]]) -> None: ...
+
+    w = Wrapper(f, "^dlxx?yz$", "^d$")
+    assert w.input_code == "dlxxyz" and w.output_code == "d" and Wrapper(g).input_code == "0l" and Wrapper(g).output_code == "n"
+    with pytest.raises(TypeError):
+        Wrapper(f, "^x")
+    with pytest.raises(TypeError):
+        Wrapper(f, return_re="^n")
+    assert FunctionWrapper(f).input_code == "xxxxyz"
+
+
+def test_wrappers_call_and_have_ids():
+    def h(a: pd.DataFrame) -> int:
+        return len(a)
+
+    w = Wrapper(h)
+    assert w(pd.DataFrame({"x": [1, 2]})) == 2 and w.__uuid__() == Wrapper(h).__uuid__()
+    from copy import deepcopy
+
+    assert deepcopy(w).input_code == "d"
+
+
+def test_codes_belong_to_one_kind():
+    with pytest.raises(InvalidOperationError):
+
+        @Wrapper.annotated_param(int, "d")
+        class Other(Param):
+            pass
+
+    with pytest.raises(InvalidOperationError):
+        Wrapper.annotated_param(int, "q")(int)
+    with pytest.raises(InvalidOperationError):
+        function_wrapper(None)(int)

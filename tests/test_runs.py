@@ -1,0 +1,96 @@
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weftline.operators import groups, runs
+
+
+def plain_runs(keys):
+    out, n = [], 0
+    for i, k in enumerate(keys):
+        n += i > 0 and k != keys[i - 1]
+        out.append(n)
+    return out
+
+
+@pytest.fixture(params=["one block", "many blocks"])
+def blocks(request, monkeypatch):
+    if request.param == "many blocks":
+        monkeypatch.setattr(runs, "BLOCK_ROWS", 7)
+
+
+def test_runs_of_a_whole_table(spark, blocks):
+    rng = random.Random(1)
+    keys = [rng.choice(["a", "b", None]) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(keys)), "i long, k string").repartition(5)
+    out = runs.run_numbers(df, ["k"], ["i"]).orderBy("i").collect()
+    assert [r["run_no"] for r in out] == plain_runs(keys) and out[0].asDict().keys() == {"i", "k", "run_no"}
+
+
+def test_one_long_run_over_blocks(spark, blocks):
+    df = spark.range(100).select(F.col("id").alias("i"), F.lit("x").alias("k"))
+    assert runs.run_numbers(df, ["k"], ["i"]).select("run_no").distinct().collect() == [(0,)]
+
+
+def test_times_as_order(spark, blocks):
+    start = dt.datetime(2020, 1, 1)
+    keys = [i // 3 % 2 for i in range(40)]
+    df = spark.createDataFrame([(start + dt.timedelta(hours=i), k) for i, k in enumerate(keys)], "t timestamp_ntz, k int")
+    assert [r["run_no"] for r in runs.run_numbers(df, ["k"], ["t"]).orderBy("t").collect()] == plain_runs(keys)
+    with pytest.raises(TypeError):
+        runs.run_numbers(df.selectExpr("cast(t as string) t", "k"), ["k"], ["t"])
+
+
+def test_nan_is_null_in_runs(spark):
+    df = spark.createDataFrame([(0, float("nan")), (1, None), (2, 1.0), (3, 1.0), (4, float("nan"))], "i int, k double")
+    assert [r["run_no"] for r in runs.run_numbers(df, ["k"], ["i"]).orderBy("i").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_runs_by_partition_and_without_keys(spark):
+    df = spark.createDataFrame([("p", 0, 1), ("p", 1, 2), ("q", 0, 1), ("q", 1, 1)], "p string, i int, k int")
+    out = runs.run_numbers(df, ["k"], ["i"], ["p"]).orderBy("p", "i").collect()
+    assert [r["run_no"] for r in out] == [0, 1, 0, 0]
+    assert {r["run_no"] for r in runs.run_numbers(df, [], ["i"]).collect()} == {0}
+
+
+def test_empty_table(spark, blocks):
+    df = spark.createDataFrame([], "i long, k string")
+    assert runs.row_slices(df, ["k"], ["i"], 2).collect() == []
+
+
+@pytest.mark.parametrize("limit,expected", [(0, [0, 0, 0, 0]), (1, [0, 1, 2, 0]), (2, [0, 0, 1, 0])])
+def test_slices_restart_in_each_run(spark, limit, expected):
+    df = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1)], "i int, k int")
+    assert [r["slice_no"] for r in runs.row_slices(df, ["k"], ["i"], limit).orderBy("i").collect()] == expected
+
+
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 40), st.integers(0, 5))
+def test_greedy_slices_keep_their_limits(sizes, limit, row_limit):
+    out = runs.greedy_slices(np.array(sizes), limit, row_limit)
+    assert len(out) == len(sizes)
+    for n in set(out.tolist()):
+        own = [s for s, k in zip(sizes, out, strict=True) if k == n]
+        assert len(own) == 1 or sum(own) <= limit
+        assert not row_limit or len(own) <= row_limit
+    for i in range(1, len(sizes)):  # no cut without need
+        if out[i] != out[i - 1]:
+            before = [s for s, k in zip(sizes, out, strict=True) if k == out[i - 1]]
+            assert sum(before) + sizes[i] > limit or len(before) == row_limit
+
+
+def test_size_slices(spark):
+    df = spark.createDataFrame([("g", i, s) for i, s in enumerate([3, 3, 3, 9, 1])], "g string, i int, s int").repartition(3)
+    out = runs.size_slices(df, ["g"], ["i"], F.col("s"), 6).orderBy("i").collect()
+    assert [r["slice_no"] for r in out] == [0, 0, 1, 2, 3]
+
+
+def test_group_apply_has_null_groups_and_a_fresh_index(spark, rows):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 1.0), (None, None), (None, float("nan"))], "k string, v double")
+    out = groups.group_apply(df, ["k", "v"], lambda g: g.assign(n=len(g), top=g.index.max()), "k:str,v:double,n:long,top:long")
+    assert {(r[0], r[1], r[2], r[3]) for r in rows(out.fillna(-1.0, ["v"]))} == {(None, 1.0, 1, 0), (None, -1.0, 2, 1), ("a", 1.0, 2, 1)}
+    assert {r["n"] for r in groups.group_apply(df, [], lambda g: g.assign(n=len(g)), "k:str,v:double,n:long").collect()} == {5}

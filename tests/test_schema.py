@@ -1,0 +1,183 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import types as T
+
+from weftline.errors import SchemaError
+from weftline.functions.types import from_arrow, from_spark, is_supported, parse_type, replace_type, to_type, types_equal
+from weftline.schema import Schema, schemas_equal
+
+PLAIN = ["null", "str", "bool", "byte", "short", "int", "long", "ubyte", "ushort", "uint", "ulong", "float16", "float", "double", "date", "datetime", "bytes", "decimal(5,2)", "decimal(9)", "timestamp(us,UTC)", "timestamp(ms,-08:00)"]
+
+
+def expressions():
+    names = st.sampled_from(["x", "`a b`", "`c``d`"])
+    return st.recursive(
+        st.sampled_from(PLAIN),
+        lambda inner: st.one_of(
+            inner.map("[{}]".format),
+            inner.map("<str,{}>".format),
+            st.tuples(names, inner).map(lambda p: "{{{}:{}}}".format(*p)),
+        ),
+        max_leaves=6,
+    )
+
+
+@given(expressions())
+def test_types_print_as_they_are_read(text):
+    kind = parse_type(text)
+    assert str(kind) == text
+    assert from_arrow(kind.arrow) == kind
+    field = kind.field("c")
+    assert from_spark(field.dataType, field.metadata) == kind
+
+
+@pytest.mark.parametrize("alias,name", [("string", "str"), ("boolean", "bool"), ("int8", "byte"), ("int64", "long"), ("float64", "double"), ("binary", "bytes"), ("timestamp(ns)", "datetime"), ("decimal(4,0)", "decimal(4)")])
+def test_aliases_print_canonically(alias, name):
+    assert str(parse_type(alias)) == name
+
+
+@pytest.mark.parametrize("text", ["a", "a:", ":int", "a:int,", "a:int,a:str", "a:[int", "a:int]", "a:<int>", "a:{x:int,x:int}", "a:what", "a:int b:str", "a:decimal()", "a:timestamp(x)", "a:int(3)", "`a:int"])
+def test_faulty_expressions(text):
+    with pytest.raises(SyntaxError):
+        Schema(text)
+
+
+def test_odd_names():
+    s = Schema("a b:int,123:str,``:long,中:bool")
+    assert s.names == ["a b", "123", "", "中"]
+    assert repr(s) == "`a b`:int,`123`:str,``:long,`中`:bool"
+    assert len(Schema("  ")) == 0
+
+
+def test_types_of_python_numpy_pandas_and_spark():
+    for obj, name in [(int, "long"), (float, "double"), (str, "str"), (bool, "bool"), (dt.date, "date"), (dt.datetime, "datetime"), (np.dtype("int16"), "short"), (pd.Int64Dtype(), "long"), (pd.ArrowDtype(pa.int32()), "int"), (T.LongType(), "long"), (pa.large_string(), "str")]:
+        assert str(to_type(obj)) == name
+    with pytest.raises(TypeError):
+        to_type(None)
+
+
+def test_support():
+    assert is_supported(pa.int64()) and is_supported(pa.list_(pa.date64()))
+    assert not is_supported(pa.date64())
+    with pytest.raises(NotImplementedError):
+        is_supported(pa.time32("s"), throw=True)
+
+
+def test_equality_with_groups():
+    whole = [lambda t: t.name in ("int", "long")]
+    assert types_equal("[int]", "[long]", [whole]) and not types_equal("[int]", "[long]")
+    assert not types_equal("[int]", "[str]", [whole])
+
+
+def test_replacing_inside_nested_types():
+    kind = parse_type("{a:[int],b:<int,long>}")
+    assert str(replace_type(kind, "int", "long")) == "{a:[long],b:<long,long>}"
+    assert str(replace_type(kind, "int", "long", recursive=False)) == str(kind)
+    assert str(replace_type(parse_type("[[int]]"), lambda t: t.kind == "list", "str")) == "str"
+
+
+def test_sources_of_a_schema(spark):
+    s = "a:int,b:[str]"
+    arrow = pa.schema([("a", pa.int32()), ("b", pa.list_(pa.string()))])
+    for obj in (s, arrow, Schema(s), Schema(s).spark, {"a": "int", "b": "[str]"}, [("a", "int"), ("b", "[str]")], spark.createDataFrame([], Schema(s).spark), [arrow.field(0), arrow.field(1)]):
+        assert repr(Schema(obj)) == s
+    assert repr(Schema(a="int")) == "a:int"
+    assert repr(Schema(pd.DataFrame({"a": [1], "t": [pd.Timestamp("2020-01-01")]}))) == "a:long,t:datetime"
+    assert repr(Schema(pd.DataFrame({"a": pd.Series([], dtype=object)}))) == "a:str"
+    with pytest.raises(SchemaError):
+        Schema("a:int", b="int")
+    with pytest.raises(SchemaError):
+        Schema(3)
+
+
+def test_only_new_names_are_set():
+    s = Schema("a:int")
+    s["b"] = str
+    assert repr(s) == "a:int,b:str"
+    for name, kind in [("a", "int"), (None, "int"), ("c", None), ("c", pa.field("d", pa.int32())), ("c", pa.date64())]:
+        with pytest.raises((SchemaError, NotImplementedError)):
+            s[name] = kind
+
+
+def test_comparison():
+    s = Schema("a:int,b:str")
+    assert s == Schema("a:int,b:str") and s == "a:int,b:str" and s != "a:int, b:str" and s != "b:str,a:int" and s is not None
+    assert s.is_like("a: int, b:str", equal_groups=[]) and s.is_like("a:long,b:str", [[lambda t: t.name in ("int", "long")]])
+    assert not s.is_like(None)
+    assert "a" in s and "a:int" in s and "a:long" not in s and ["a", "b:str"] in s and "c" not in s
+
+
+def test_algebra():
+    s = Schema("a:int,b:str,c:int")
+    assert s + "d:int" == "a:int,b:str,c:int,d:int"
+    assert s - "b" == "a:int,c:int" and s - ["a", "c"] == "b:str"
+    with pytest.raises(SchemaError):
+        s + "a:int"
+    with pytest.raises(SchemaError):
+        s - "x"
+    with pytest.raises(SchemaError):
+        s - "a:str"
+    with pytest.raises(SchemaError):
+        s -= "a"
+    assert s.exclude(["x", "a"]) == "b:str,c:int"
+    assert s.extract(["c", "a"]) == "c:int,a:int" and s.extract(["c", "x"], ignore_key_mismatch=True) == "c:int"
+    with pytest.raises(SchemaError):
+        s.extract({"a"})
+    assert s.intersect("c:int,a:int") == "a:int,c:int" and s.intersect("c:int,a:int", use_other_order=True) == "c:int,a:int"
+    assert s.union("a:int,d:str") == "a:int,b:str,c:int,d:str"
+    with pytest.raises(SchemaError):
+        s.union("a:str", require_type_match=True)
+    assert s.alter("b:int") == "a:int,b:int,c:int"
+    with pytest.raises(ValueError):
+        s.alter("x:int")
+    assert s.rename({"a": "c", "c": "a"}) == "c:int,b:str,a:int"
+    for bad in ({"a": "b"}, {"x": "y"}):
+        with pytest.raises(SchemaError):
+            s.rename(bad)
+    assert s.rename({"x": "y"}, ignore_missing=True) == s
+
+
+def test_union_with_changes_in_place_and_copies_do_not():
+    s = Schema("a:int")
+    t = s.copy()
+    s.union_with("b:str")
+    assert s == "a:int,b:str" and t == "a:int"
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("*", "a:int,b:str,`*`:bool"), ("*,d:long", "a:int,b:str,`*`:bool,d:long"), ("*-a", "b:str,`*`:bool"), ("*~a,x", "b:str,`*`:bool"),
+    ("*+a:long,d:int", "a:long,b:str,`*`:bool,d:int"), ("*-`*`+e:timestamp(us,-08:00)", "a:int,b:str,e:timestamp(us,-08:00)"),
+])
+def test_transform(text, expected):
+    assert Schema("a:int,b:str,`*`:bool").transform(text) == expected
+
+
+def test_transform_takes_functions_and_names():
+    s = Schema("a:int")
+    assert s.transform("*", lambda x: [(n + "2", t) for n, t in x.items()], z="str") == "a:int,a2:int,z:str"
+    for bad in ("*-x", "*,a:int", "*+b"):
+        with pytest.raises(SchemaError):
+            s.transform(bad)
+
+
+def test_empty_tables(spark):
+    s = Schema("a:uint,b:{x:[datetime]},c:timestamp(us,UTC)")
+    assert s.empty(spark).count() == 0 and repr(Schema(s.empty(spark))) == repr(s)
+    assert repr(Schema(s.empty_arrow().schema)) == repr(s)
+    assert list(s.empty_pandas().columns) == s.names
+    with pytest.raises(SchemaError):
+        Schema().assert_not_empty()
+
+
+def test_schemas_equal():
+    assert schemas_equal("a:int,b:str", "b:str,a:int", check_order=False) and not schemas_equal("a:int,b:str", "b:str,a:int")
+    assert schemas_equal("a:[int]", "a:[long]", ignore=[("int", "long")])
+    noted = T.StructType([T.StructField("a", T.IntegerType(), True, {"x": 1})])
+    bare = T.StructType([T.StructField("a", T.IntegerType())])
+    assert schemas_equal(noted, bare, check_metadata=False) and not schemas_equal(noted, bare)
