@@ -1,0 +1,80 @@
+import re
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftline.llm.kernels import chunks, shingle_sets
+from weftline.llm.quality_rules import base_counts, log_ratios, op3_quality_rules, quality_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    at = {}
+    for i in range(len(words) - 2):
+        at.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for own in at.values() if len(own) > 1 for i in own for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "é", "中#", " ", "\n", "\n\n", "\t", "$<", "\x0b", "\xa0"])).map("".join)), max_size=6))
+def test_base_counts(texts):
+    found = np.zeros((len(texts), 5), int)
+    for row, data, offsets in chunks(pa.array(texts, pa.string())):
+        found[row : row + len(offsets) - 1] = base_counts(data, offsets)
+    assert found.tolist() == [list(brute(t)) for t in texts]
+
+
+def test_slices_of_columns_and_chunk_bounds(monkeypatch):
+    from weftline.llm import kernels
+
+    monkeypatch.setattr(kernels, "CHUNK_BYTES", 16)
+    texts = ["a b c d e f g", None, "", "x" * 100, "a b c d e f"]
+    for column in (pa.array(texts), pa.array(["zz", *texts, "q"]).slice(1, 5), pa.array(texts, pa.large_string())):
+        assert [len(s) for s in shingle_sets(column)] == [3, 0, 0, 1, 2]
+
+
+def test_rules_and_verdicts(spark):
+    good = " ".join(f"plain{i % 40} words{i % 37}" for i in range(60))
+    junk = " ".join(f"zz{i} qq{i * 3}" for i in range(60))
+    rows = [(i, good) for i in range(20)] + [(100 + i, junk + f" {i}") for i in range(20)]
+    rows += [(200, None), (201, ""), (202, "few words"), (203, "again and again " * 40), (None, good), (0, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    trusted = spark.createDataFrame([(i,) for i in range(20)] + [(None,), (3,)], "doc_id long")
+    found = quality_rules(docs, trusted).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        if r.doc_id is not None:
+            assert tuple(r[f] for f in FIELDS) == brute(texts[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.log_ratio >= -0.1)
+    verdict = {r.doc_id: r.kept for r in found}
+    assert verdict[0] and verdict[None] and not verdict[101] and not verdict[203] and not verdict[200]
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    rows = [(i, f"some words of text number {i % 7} " * 12) for i in range(60)]
+    trusted = spark.range(0, 60, 3).withColumnRenamed("id", "doc_id")
+    found = [sorted(map(tuple, quality_rules(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), trusted).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
+def test_without_trusted_rows_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 3 + " ".join(map(str, range(60))))], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    assert not log_ratios(docs, none).any() and [r.kept for r in quality_rules(docs, none).collect()] == [True]
+    assert quality_rules(docs.limit(0), none).collect() == []
+
+
+def test_labelled_quality_is_told_apart(spark):
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    found = op3_quality_rules(spark, sf).join(labels, "doc_id").where("not base_failed").collect()
+    assert found and all(r.kept == (r.quality == 1) for r in found)

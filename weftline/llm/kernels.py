@@ -153,7 +153,10 @@ def hashed_ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
 
 
 def row_means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The mean of each row's values; 0 for a row without any."""
-    sums = np.r_[0.0, np.cumsum(values, dtype=np.float64)]
+    """The mean of each row's values; 0 for a row without any. It depends on the row alone, to the last bit."""
     counts = np.diff(bounds)
-    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts, 1)
+    full = counts > 0
+    out = np.zeros(len(counts))
+    if full.any():
+        out[full] = np.add.reduceat(values.astype(np.float64), bounds[:-1][full]) / counts[full]
+    return out
