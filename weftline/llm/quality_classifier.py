@@ -92,7 +92,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
     features = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), F.col("_text").alias("text")).mapInArrow(_featurise(settings), "key long, label int, buckets binary, values binary")
     ordered = features.repartition(1).sortWithinPartitions("key", "label", "buckets", "values")
-    weights = np.frombuffer(ordered.mapInArrow(_follow(settings), "weights binary").first()[0], np.float32)
+    made = ordered.mapInArrow(_follow(settings), "weights binary").first()  # no row if there is no partition
+    weights = np.frombuffer(made[0], np.float32) if made else np.zeros((1 << settings.bits) + 1, np.float32)
     return Model(weights[:-1], float(weights[-1]), settings)
 
 
