@@ -92,12 +92,12 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
     cells = min(blocks, 64)
     cut = [] if cells < 2 else sorted(set(rows.agg(F.percentile_approx("id", [i / cells for i in range(1, cells)], 10_000)).first()[0] or []))
-    bounds = [low or 0, *(x for x in cut if x > (low or 0)), (high or 0) + 1]
+    bounds = [low or 0, *(x for x in cut if x > (low or 0)), high or 0]
     parts = -(-blocks // (len(bounds) - 1))
     block = F.lit(None).cast("long")
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        within = F.least(F.floor((F.col("id") - F.lit(a)).cast("double") / max(1.0, (b - a) / parts)), F.lit(parts - 1))
-        block = F.when((F.col("id") >= a) & (F.col("id") < b), F.lit(i * parts) + within.cast("long")).otherwise(block)
+        within = F.least(F.floor((F.col("id").cast("double") - float(a)) / max(1.0, (b - a) / parts)), F.lit(parts - 1))
+        block = F.when(F.col("id") >= a, F.lit(i * parts) + within.cast("long")).otherwise(block)  # later cells overrule
     rows = rows.withColumn("block", F.coalesce(block, F.lit(0)))
     heads = rows.groupBy("block").agg(F.min("id").alias("head"))
     order = Window.orderBy("block")
