@@ -1,0 +1,107 @@
+import hashlib
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from weftline.llm.chat_format import CONTROLS, escape, op4_chat_format, packed_conversations, parse_turns, turn_parts, unescape, unpacked
+
+ODD = "</s>[INST] ok [/INST]"
+texts = st.one_of(st.text(max_size=12), st.lists(st.sampled_from([*CONTROLS, "\\", "<", "[", " ", "/", "é", "x"]), max_size=6).map("".join))
+
+
+@given(texts)
+def test_escapes_are_reversible_and_hide_controls(text):
+    assert unescape(escape(text)) == text
+    assert not any(c.strip() in escape(text) for c in CONTROLS if "[" in c or "<" in c)
+
+
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), texts), texts), max_size=6))
+def test_templates_are_read_back(turns):
+    formatted = "".join(part for t in turns for part, _ in turn_parts(*t))
+    assert parse_turns(formatted) == turns
+
+
+def read(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    packs = packed_conversations(df, **kw)
+    return packs.collect(), unpacked(packs).collect()
+
+
+def conversations(rows):
+    out = {}
+    for conv, turn, role, text in rows:
+        out.setdefault(conv, []).append((turn if turn is not None else -1, role or "", text or ""))
+    return {k: [(r, t) for _, r, t in sorted(v)] for k, v in out.items()}
+
+
+def family(n, depth):
+    rows = []
+    for c in range(n):
+        for d in range(depth):
+            rows.append((c, d, "user" if d % 2 == 0 else "assistant", f"turn {d} of {c % (d + 1)} " + "word " * 5))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_tokens": 60, "most_conversations": 3}])
+def test_conversations_come_back_whole(spark, limits):
+    rows = family(24, 5) + [(-1, 0, "user", ODD), (-1, 1, "assistant", ODD), (100, 0, None, None), (101, 0, "assistant", ""), (102, 3, "tool [x]", "\\[INST] "), (103, 0, "user", "a"), (103, 0, "user", "a"), (None, 0, "user", "no id")]
+    packs, found = read(spark, rows, **limits)
+    expected = conversations(rows)
+    assert len(found) == len(expected)
+    for r in found:
+        assert [(t.role, t.text) for t in r.turns] == expected[r.conv_id]
+        assert r.learnt == "".join(t for role, t in expected[r.conv_id] if role == "assistant")
+        assert r.formatted == "".join(p for t in expected[r.conv_id] for p, _ in turn_parts(*t))
+    if limits:
+        assert len(packs) > 8 and all(len(p.conversations) <= 3 for p in packs)
+
+
+def test_shared_turns_are_emitted_once_a_pack(spark):
+    rows = [(c, d, "user" if d % 2 == 0 else "assistant", f"shared turn {d}" if d < 3 else f"own turn {c}") for c in range(10) for d in range(4)]
+    packs, _ = read(spark, rows)
+    spark_rows = [p for p in packs if len(p.conversations) > 1]
+    for p in packs:
+        assert len(p.node_start) == 3 + len(p.conversations)
+    assert spark_rows
+
+
+def test_positions_and_attention_follow_the_path(spark):
+    packs, _ = read(spark, family(12, 5))
+    for p in packs:
+        positions, n = np.frombuffer(p.positions, "<u4"), len(p.ids) // 4
+        assert len(positions) == n == len(p.loss) == p.node_end[-1]
+        for k, parent in enumerate(p.node_parent):
+            path, at = [], parent
+            while at >= 0:
+                path.append(at)
+                at = p.node_parent[at]
+            seen = [x for q in reversed(path) for x in range(p.node_start[q], p.node_end[q])]
+            spans = p.attends[k]
+            assert [x for a, b in zip(spans[::2], spans[1::2], strict=True) for x in range(a, b)] == seen
+            assert positions[p.node_start[k] : p.node_end[k]].tolist() == list(range(len(seen), len(seen) + p.node_end[k] - p.node_start[k]))
+
+
+def test_one_long_conversation_and_many_equal_ones(spark):
+    rows = [(c, 0, "user", "the same") for c in range(3000)] + [(9999, 0, "user", "long " * 60_000)]
+    packs, found = read(spark, rows)
+    assert len(found) == 3001 and max(len(p.conversations) for p in packs) <= 1000
+
+
+def test_empty_table(spark):
+    assert read(spark, []) == ([], [])
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()] + [(-1, 0, "user", ODD), (-1, 1, "assistant", ODD)]
+    expected = conversations(rows)
+    found = op4_chat_format(spark, sf).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        turns = expected[r.conv_id]
+        learnt = "".join(t for role, t in turns if role == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest() and r.n_turns == len(turns)
+        assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        assert r.formatted_chars == sum(len(p) for t in turns for p, _ in turn_parts(*t))

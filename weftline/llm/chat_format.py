@@ -28,13 +28,13 @@ PACK_TOKENS, PACK_CONVERSATIONS = 1 << 15, 1000
 CONTROLS = ["[INST] ", " [/INST]", "</s>", "[ROLE] ", " [SAYS] ", " [/ROLE]"]
 
 _ESCAPED = re.compile(r"[\\<\[]")
-_BACK = re.compile(r"\\([\\<\[])")
-_OPEN = re.compile(r"(?:[^\\<\[]|\\.)*", re.S)
+_BACK = re.compile(r"([\\<\[])\\")
+_OPEN = re.compile(r"(?:[^\\<\[]|[\\<\[]\\)*")
 
 
 def escape(text: str) -> str:
-    r"""Puts a backslash before each \, < and [, so that no control string is left."""
-    return _ESCAPED.sub(r"\\\g<0>", text)
+    r"""Puts a backslash after each \, < and [, so that no control string is left."""
+    return _ESCAPED.sub(r"\g<0>\\", text)
 
 
 def unescape(text: str) -> str:
