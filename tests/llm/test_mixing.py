@@ -1,0 +1,123 @@
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import mixing
+from weftline.llm.mixing import mixed, n_words, op5_mixing, source_domain
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fill(budget, children):
+    """Shares of (weight, capacity) nodes by raising one water level step by step."""
+    shares, left, rest = [0.0] * len(children), budget, {i for i, (w, _) in enumerate(children) if w > 0}
+    while rest and left > 1e-9:
+        level = left / sum(children[i][0] for i in rest)
+        full = {i for i in rest if children[i][1] <= level * children[i][0]}
+        if not full:
+            for i in rest:
+                shares[i] = level * children[i][0]
+            break
+        for i in full:
+            shares[i] = children[i][1]
+            left -= children[i][1]
+        rest -= full
+    return shares
+
+
+def brute(spark, docs, share, weights, max_epochs, seed):
+    """docs: (id, domain, lang, source, tokens); weights by node path."""
+    by_leaf = defaultdict(lambda: defaultdict(int))
+    for i, *leaf, n in docs:
+        by_leaf[tuple(leaf)][i] += n
+    budget = share * sum(n for *_, n in docs)
+
+    def below(path):
+        return sum(n for leaf, own in by_leaf.items() if leaf[: len(path)] == path for n in own.values()) * max_epochs
+
+    budgets = {(): budget}
+    for depth in (1, 2, 3):
+        for parent in [p for p in budgets if len(p) == depth - 1]:
+            nodes = sorted({leaf[:depth] for leaf in by_leaf if leaf[: depth - 1] == parent}, key=repr)
+            for node, s in zip(nodes, fill(budgets[parent], [(weights.get(n, 1.0), below(n)) for n in nodes]), strict=True):
+                budgets[node] = s
+    ids = sorted({i for own in by_leaf.values() for i in own})
+    frame = spark.createDataFrame([(i, e) for i in ids for e in range(max_epochs)], "i long, e int")
+    at = {(r.i, r.e): r.h for r in frame.select("i", "e", F.xxhash64(F.lit(seed), "e", "i").alias("h")).collect()}
+    taken = defaultdict(int)
+    for leaf, own in by_leaf.items():
+        total, s = sum(own.values()), budgets[leaf]
+        whole = min(int(s / total + 1e-9), max_epochs) if total else 1
+        left = int(s - whole * total + 1e-6)
+        for i in own:
+            taken[leaf, i] += whole
+        if whole < max_epochs and left > 0:
+            for i in sorted(own, key=lambda i: (at[i, whole], i)):
+                if own[i] > left:
+                    break
+                left -= own[i]
+                taken[leaf, i] += 1
+    return {k: v for k, v in taken.items() if v}
+
+
+def corpus(n=300):
+    out = []
+    for i in range(n):
+        lang = ["en", "en", "en", "de", None][i % 5]
+        source = "hot" if i % 3 else f"s{i % 7}"
+        out.append((i, "d1" if i % 4 else "d2", lang, source, (i * 7) % 50))
+    return out
+
+
+@pytest.mark.parametrize("share,epochs,weights", [
+    (0.5, 1, {}), (0.5, 2, {("d1",): 3.0}), (1.5, 2, {("d2",): 5.0, ("d2", "en"): 0.0}), (0.9, 1, {("d1", "en", "hot"): 10.0}), (2.0, 2, {}), (0.0, 1, {}),
+])
+def test_budgets_and_prefixes(spark, monkeypatch, share, epochs, weights):
+    monkeypatch.setattr(mixing, "BUCKETS", 16)
+    docs = corpus()
+    df = spark.createDataFrame([(i, d, a, s, " ".join("w" * n)) for i, d, a, s, n in docs], "doc_id long, domain string, lang string, source string, text string").repartition(3)
+    tables = {}
+    for depth, level in enumerate(mixing.LEVELS, 1):
+        own = [(*k, w) for k, w in weights.items() if len(k) == depth]
+        if own:
+            tables[level] = spark.createDataFrame(own, ", ".join(f"{x} string" for x in mixing.LEVELS[:depth]) + ", weight double")
+    found = defaultdict(int)
+    epochs_seen = defaultdict(set)
+    for r in mixed(df, share, tables, domain=F.col("domain"), max_epochs=epochs, seed=3).collect():
+        found[(r.domain, r.lang, r.source), r.doc_id] += 1
+        epochs_seen[r.doc_id].add(r.epoch)
+    assert found == brute(spark, docs, share, weights, epochs, 3)
+    assert all(e == set(range(len(e))) for e in epochs_seen.values())
+
+
+def test_equal_ids_nulls_and_clashing_columns(spark):
+    rows = [(1, "a", "s", "x x"), (1, "a", "s", "y"), (None, "a", "s", "z"), (None, None, None, None), (2, "a", "s", "")]
+    df = spark.createDataFrame([(*r, "keep") for r in rows], "doc_id long, lang string, source string, text string, epoch string")
+    whole = mixed(df, 1.0).collect()
+    assert len(whole) == 5 and {r.epoch for r in whole} == {0} and whole[0].asDict().keys() == set(df.columns)
+    assert mixed(df, 1.0, epoch_col=None).columns == df.columns
+    assert mixed(df.limit(0), 1.0).collect() == []
+    half = [r.doc_id for r in mixed(df.where("doc_id = 1"), 0.7).collect()]
+    assert half == []  # three words together do not fit two
+
+
+def test_word_counts_and_domains(spark):
+    texts = [None, "", " a\tb\n", "é 中\xa0x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(n_words(F.col("t"))).collect()] == [len(WORD.findall(t or "")) for t in texts]
+    df = spark.createDataFrame([("src13",), ("src14",), ("other",), (None,)], "s string")
+    assert [r[0] for r in df.select(source_domain(F.col("s"))).collect()] == ["d3", "d0", "other", None]
+
+
+def test_query_keeps_its_budget(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", source_domain(F.col("source")), "lang", "source", n_words(F.col("text"))).collect()
+    expected = brute(spark, [tuple(r) for r in rows], 0.5, {(r[1], r[2]): 3.0 if r[2] == "en" else 1.0 for r in rows}, 2, 5)
+    found = defaultdict(int)
+    by_id = {r.doc_id: (r[1], r[2], r[3]) for r in rows}
+    for r in op5_mixing(spark, sf).collect():
+        found[by_id[r.doc_id], r.doc_id] += 1
+    assert found == expected

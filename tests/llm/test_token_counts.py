@@ -1,0 +1,98 @@
+import math
+
+import public_tokenizers
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from weftline.llm.token_counts import PreTokenTrie, count_documents, op1_token_counts, read_ranks, token_counts, zipf_scores
+
+PIECES = [b"a", b"ab", b"abc", b"b", b"bc", b"c", b"ca", "é".encode(), b"aaaa"]
+
+
+def brute(token, scores):
+    """Pieces of the best of all segmentations; ties go to fewer pieces."""
+    unknown = min(scores.values()) - 10.0
+    best = {0: (0.0, 0)}
+    for end in range(1, len(token) + 1):
+        options = []
+        for start in range(end):
+            s = scores.get(token[start:end])
+            if s is None and start == end - 1:
+                s = unknown
+            if s is not None:
+                options.append((best[start][0] + s, -(best[start][1] + 1)))
+        top = max(options)
+        best[end] = (top[0], -top[1])
+    return best[len(token)][1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcéz", min_size=1, max_size=12), unique=True, max_size=12))
+def test_trie_agrees_with_single_segmentations(tokens):
+    scores = zipf_scores(PIECES)
+    assert PreTokenTrie(scores).counts(tokens) == [brute(t.encode(), scores) for t in tokens]
+
+
+def test_shared_prefixes_are_scored_once():
+    looked = []
+
+    class Counting(dict):
+        def get(self, key, default=None):
+            looked.append(key)
+            return super().get(key, default)
+
+    scores = Counting(zipf_scores(PIECES))
+    PreTokenTrie(scores).counts(["abcabcabca", "abcabcabcb"])
+    alone = Counting(zipf_scores(PIECES))
+    n = len(looked)
+    looked.clear()
+    for t in ("abcabcabca", "abcabcabcb"):
+        PreTokenTrie(alone).counts([t])
+    assert n < 0.6 * len(looked)
+
+
+def test_terminal_counts_are_bounded():
+    trie = PreTokenTrie(zipf_scores(PIECES), most_tokens=3)
+    for k in range(30):
+        assert trie.counts(["abc" * (k + 1)]) == [k + 1]
+    assert len(trie.terminal) <= 4
+
+
+def test_documents(spark):
+    scores = zipf_scores(PIECES)
+    texts = ["abc abc", None, "", "é! zz", "abc" * 3000, "abc abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    found = {r.i: tuple(r.c) for r in df.select("i", token_counts(spark, F.col("t"), scores, r"\S+").alias("c")).collect()}
+    assert found == {i: (sum(brute(w.encode(), scores) for w in (t or "").split()), len((t or "").split())) for i, t in enumerate(texts)}
+
+
+def test_query_over_the_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    scores = zipf_scores(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = op1_token_counts(spark, sf).collect()
+    assert len(found) == len(texts)
+    pattern, memo = regex.compile(public_tokenizers.PATTERN), {}
+
+    def pieces(t):
+        if t not in memo:
+            memo[t] = brute(t.encode(), scores)
+        return memo[t]
+
+    for r in sorted(found, key=lambda r: len(texts[r.doc_id]))[:60]:
+        tokens = pattern.findall(texts[r.doc_id])
+        assert (r.n_pre_tokens, r.n_tokens) == (len(tokens), sum(map(pieces, tokens)))
+
+
+def test_clashing_columns_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, n_tokens string")
+    r = count_documents(df).first()
+    assert count_documents(df).columns == ["doc_id", "text", "n_tokens", "n_pre_tokens"] and r.n_tokens == 2
+    assert count_documents(df.limit(0)).collect() == []
+
+
+def test_scores_follow_ranks():
+    s = zipf_scores([b"x", b"y"])
+    assert s[b"x"] == -math.log(2) and s[b"y"] == -math.log(3)
