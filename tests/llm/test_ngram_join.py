@@ -70,6 +70,29 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
 
 
+def test_large_groups_of_many_components(spark, monkeypatch):
+    """A passage that all share makes one meeting place of sets of several families and of sets that link with none."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(30))
+    families = [" ".join(f"f{k}x{rng.randrange(99)}" for _ in range(20)) for k in range(4)]
+    docs = []
+    for i in range(70):
+        kind = rng.random()
+        own = families[i % 4] if kind < 0.6 else " ".join(f"o{i}x{j}" for j in range(rng.choice([1, 2, 14, 30])))
+        docs.append((i, f"{passage} {own}" + (f" end{rng.randrange(40)}" if kind < 0.6 else "")))
+    found = run(spark, docs)
+    assert found == brute(docs) and 5 < len({c for *_, c in found}) < 60
+
+
+def test_chains_over_blocks(spark, monkeypatch):
+    """Each text links with the next ones only, so no set stands for its component."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    words = [f"w{i}" for i in range(140)]
+    docs = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(25)]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_nulls_empty_short_and_repeated_rows(spark):
     docs = [(5, None), (4, ""), (3, " \t\n"), (2, "one"), (9, "ONE"), (1, "a b c"), (7, "a b c"), (7, "a b c"), (None, "a b c"), (6, "a b"), (8, "É b c d e"), (10, "é b c d e")]
     assert run(spark, docs) == brute(docs)

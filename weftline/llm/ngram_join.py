@@ -10,8 +10,11 @@
    Only a spanning forest of what may link leaves a meeting place, so no group is expanded into its pairs.
 4. Each candidate component is stored in a radix trie, frequent n-grams first. Every set walks it once: sets below a
    node share the overlap so far, and a subtree is left as soon as its remaining lengths cannot reach the bound.
-   Overlaps are exact. Large components are walked block against block.
+   Overlaps are exact. A set that is linked leaves the trie, so a family of copies is walked about once.
 5. Connected components over the links found.
+
+Groups too large for a task (of a meeting place or a component) are cut into blocks. Blocks are connected inside, then
+one set of each component meets those of other blocks; only sets that are still apart are compared block by block.
 """
 
 from __future__ import annotations
@@ -23,17 +26,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import components, prepared, table, text_bytes
 from weftline.llm.kernels import shingle_sets
 
-#: Bytes of text whose n-grams one hash range gets, about 4 million n-grams.
-RANGE_BYTES = 24 << 20
-#: Sets that are compared or walked in one task; larger groups go block by block.
+#: Bytes of text whose n-grams one hash range gets, about 2 million n-grams.
+RANGE_BYTES = 12 << 20
+#: Sets of a block; two blocks are compared or walked at once.
 BLOCK = 2000
-#: A table of so many large groups may be broadcast (12 bytes each).
+#: A table of so many large groups, or of components of theirs, may be broadcast (60 bytes each).
 MOST_BROADCAST = 200_000
 #: Bits of a bitmap at most; larger sets are told apart by fewer bits than n-grams.
 MOST_BITS = 2048
@@ -134,18 +137,20 @@ def _shared_in_range(rows: pa.Table) -> pa.Table:
     """Of one hash range's n-grams those that two sets or more have, to the batches that sent them."""
     sent = [_u64(x) for x in rows["tokens"].to_pylist()]
     every = np.concatenate(sent)
-    ordered = np.sort(every)
-    again = ordered[1:][ordered[1:] == ordered[:-1]]
-    shared = np.isin(every, again[np.r_[True, again[1:] != again[:-1]]] if len(again) else again)
+    order = np.argsort(every)
+    same = np.diff(every[order]) == 0
+    shared = np.zeros(len(every), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    del order, same, every
     out, at = [], 0
     for row, tokens in zip(rows.select(["bid", "owners", "known", "known_owners", "meta"]).to_pylist(), sent, strict=True):
         mask, known = shared[at : at + len(tokens)], _u64(row["known"])
         at += len(tokens)
         owner = np.r_[_owners(row["owners"], len(tokens))[mask], _owners(row["known_owners"], len(known))]
         found = np.r_[tokens[mask], known]
-        order = np.argsort(owner, kind="stable")
+        place = np.argsort(owner, kind="stable")
         if len(found) or row["meta"] is not None:
-            out.append((row["bid"], *_by_owner(found[order], owner[order]), row["meta"]))
+            out.append((row["bid"], *_by_owner(found[place], owner[place]), row["meta"]))
     return _table(out, "bid:l,tokens:b,owners:b,meta:b")
 
 
@@ -190,41 +195,59 @@ def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _forest(n: np.ndarray, own: np.ndarray, bits: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Edges that span whatever may link among the sets of one meeting place."""
+def _spanning(labels: list[bytes], near: Callable[[int], list[int]], leave: Callable[[int], None]) -> list[tuple[int, int]]:
+    """Edges that connect whatever links. near(x) tells the sets that link with x and have not left yet.
+
+    Sets of one label are connected already: they leave together and get no edge among themselves.
+    """
+    alike: dict[bytes, list[int]] = {}
+    for i, label in enumerate(labels):
+        alike.setdefault(label, []).append(i)
+    edges, gone = [], [False] * len(labels)
+    for root in range(len(labels)):
+        stack, new = [], [] if gone[root] else [root]
+        while new or stack:
+            for i in (k for y in new for k in alike[labels[y]] if not gone[k]):
+                gone[i] = True
+                leave(i)
+                stack.append(i)
+            x, found = stack.pop(), {}
+            for y in near(x):
+                found.setdefault(labels[y], y)
+            new = list(found.values())
+            edges += [(x, y) for y in new]
+    return edges
+
+
+def _may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], percent: int) -> tuple[Callable[[int], list[int]], Callable[[int], None]]:
+    """What _spanning asks of a meeting place; own: n-grams that no other set has."""
     width = np.array([len(b) for b in bits])
     levels = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
     maps = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in levels.items()}
     open_ = np.ones(len(n), bool)
-    edges = []
-    for root in range(len(n)):
-        if not open_[root]:
-            continue
-        open_[root] = False
-        stack = [root]
-        while stack and open_.any():
-            x = stack.pop()
-            w = len(bits[x])
-            for v in (w // 2, w, w * 2):
-                at = levels.get(v)
-                if at is None:
-                    continue
-                pick = open_[at]
-                if not pick.any():
-                    continue
-                to, other = at[pick], maps[v][pick]
-                mine = np.frombuffer(bits[x], np.uint64)[None, :]
-                least = min(w, v) // 8
-                far = np.bitwise_count(_fold(mine, least) ^ _fold(other, least)).sum(axis=1, dtype=np.int64)
-                both = n[x] + n[to]
-                need = -(-percent * both // (100 + percent))
-                near = far <= both - 2 * need - own[x] - own[to]
-                near &= np.minimum(n[x], n[to]) >= need
-                for y in to[near].tolist():
-                    open_[y] = False
-                    edges.append((x, y))
-                    stack.append(y)
-    return edges
+
+    def near(x: int) -> list[int]:
+        w, found = len(bits[x]), []
+        for v in (w // 2, w, w * 2):
+            at = levels.get(v)
+            pick = open_[at] if at is not None else None
+            if pick is None or not pick.any():
+                continue
+            to, other = at[pick], maps[v][pick]
+            mine = np.frombuffer(bits[x], np.uint64)[None, :]
+            least = min(w, v) // 8
+            far = np.bitwise_count(_fold(mine, least) ^ _fold(other, least)).sum(axis=1, dtype=np.int64)
+            both = n[x] + n[to]
+            need = -(-percent * both // (100 + percent))
+            close = far <= both - 2 * need - own[x] - own[to]
+            close &= np.minimum(n[x], n[to]) >= need
+            found += to[close].tolist()
+        return found
+
+    def leave(x: int) -> None:
+        open_[x] = False
+
+    return near, leave
 
 
 def _fold(rows: np.ndarray, words: int) -> np.ndarray:
@@ -238,13 +261,14 @@ def _meet(percent: int) -> Callable[[pa.Table], pa.Table]:
         order = np.lexsort(keys)
         keys = keys[:, order]
         first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        fp, bits = rows["fp"].to_pylist(), rows["bits"].to_pylist()
+        fp, bits, labels = (rows[k].to_pylist() for k in ("fp", "bits", "label"))
         n, shared = rows["n"].to_numpy(), rows["shared"].to_numpy()
         found = set()
         for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
             if b - a > 1:
                 own = order[a:b]
-                for x, y in _forest(n[own], (n - shared)[own], [bits[i] for i in own], percent):
+                near, leave = _may_link(n[own], (n - shared)[own], [bits[i] for i in own], percent)
+                for x, y in _spanning([labels[i] for i in own], near, leave):
                     found.add((fp[own[x]], fp[own[y]]))
         return _table(sorted(found), "u:b,v:b")
 
@@ -252,10 +276,13 @@ def _meet(percent: int) -> Callable[[pa.Table], pa.Table]:
 
 
 class _Trie:
-    """Sets of ordered n-grams in a radix trie: each node is a run of n-grams and what the sets below allow."""
+    """Sets of ordered n-grams in a radix trie: each node is a run of n-grams and what the sets below allow.
+
+    A node is [start, end, least size, most n-grams to come, children, sets that end here, parent, sets that are left].
+    """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        self.pool, self.root = [], [0, 0, 0, 0, [], []]
+        self.pool, self.root = [], [0, 0, 0, 0, [], [], None, 0]
         self.sizes = sizes
         length = 0
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
@@ -270,12 +297,12 @@ class _Trie:
                 node, end = path.pop()
                 above = path[-1][1]
                 if above < common:  # cut the node's run in two
-                    head = [node[0], node[0] + common - above, 0, 0, [node], []]
+                    head = [node[0], node[0] + common - above, 0, 0, [node], [], None, 0]
                     node[0] += common - above
                     path[-1][0][4][-1] = head
                     path.append((head, common))
             if len(s) > common:
-                node = [length, length + len(s) - common, 0, 0, [], []]
+                node = [length, length + len(s) - common, 0, 0, [], [], None, 0]
                 self.pool.append(s[common:])
                 length += len(s) - common
                 path[-1][0][4].append(node)
@@ -283,18 +310,32 @@ class _Trie:
             path[-1][0][5].append(i)
             last = s
         self.pool = np.concatenate(self.pool) if self.pool else np.zeros(0, np.int64)
+        self.ends: dict[int, list] = {}
         stack = [(self.root, False)]
         while stack:  # below each node: the smallest set, the most n-grams still to come
             node, done = stack.pop()
             if done:
                 node[2] = min([self.sizes[i] for i in node[5]] + [c[2] for c in node[4]])
                 node[3] = max([0] + [c[3] + c[1] - c[0] for c in node[4]])
+                node[7] = len(node[5]) + sum(c[7] for c in node[4])
+                for c in node[4]:
+                    c[6] = node
+                self.ends.update(dict.fromkeys(node[5], node))
             else:
                 stack.append((node, True))
                 stack.extend((c, False) for c in node[4])
 
+    def leave(self, i: int) -> None:
+        node = self.ends[i]
+        node[5].remove(i)
+        while node is not None:
+            node[7] -= 1
+            node = node[6]
+
     def walk(self, tokens: np.ndarray, size: int, universe: int, percent: int) -> Iterator[int]:
-        """The stored sets that link with a set."""
+        """The sets left that link with a set."""
+        if not self.root[7]:
+            return
         has = np.zeros(universe, bool)
         has[tokens] = True
         sums = np.zeros(len(self.pool) + 1, np.int64)
@@ -310,7 +351,7 @@ class _Trie:
             for i in node[5]:
                 if whole * overlap >= percent * (size + self.sizes[i]):
                     yield i
-            stack.extend((c, overlap) for c in node[4])
+            stack.extend((c, overlap) for c in node[4] if c[7])
 
 
 def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -325,30 +366,60 @@ def _links(percent: int) -> Callable[[pa.Table], pa.Table]:
         ranked = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
         ranked = [np.sort(x) for x in ranked]
         trie = _Trie(ranked, sizes)
-        root = list(range(len(sets)))
+        edges = _spanning(rows["label"].to_pylist(), lambda i: list(trie.walk(ranked[i], sizes[i], len(values), percent)), trie.leave)
+        return _table([(fp[x], fp[y]) for x, y in edges], "u:b,v:b")
+
+    return run
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
 
-        for i, own in enumerate(ranked):
-            for j in trie.walk(own, sizes[i], len(values), percent):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-        return _table([(fp[i], fp[find(i)]) for i in range(len(sets)) if find(i) != i], "u:b,v:b")
+def _few(df: DataFrame) -> DataFrame:
+    """The table, which is checkpointed, marked for a broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    return run
 
+def _connected(rows: DataFrame, key: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) between fps that connect whatever links in a group of equal keys.
 
-def _blocked(df: DataFrame, key: str, width: int) -> DataFrame:
-    """Adds lo and hi, the two blocks that meet. Only groups of more than `width` rows have more than one block."""
-    large = df.groupBy(key).count().where(F.col("count") > width).select(key, F.ceil(F.col("count") / width).cast("int").alias("blocks")).checkpoint()
-    few = F.broadcast if large.count() <= MOST_BROADCAST else (lambda x: x)
-    df = df.join(few(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "own", "other")
+    link finds such edges among rows of one (key, lo, hi), of 4 * BLOCK rows at most. Most groups are one such block.
+    """
+    large = rows.groupBy(key).count().where(F.col("count") > BLOCK).select(key, F.ceil(F.col("count") / BLOCK).alias("blocks")).checkpoint()
+    rows = rows.withColumn("label", F.col("fp"))
+    if large.isEmpty():
+        return link(rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)}))
+    hashed = F.xxhash64("fp")
+    cut = rows.join(_few(large), key, "left").withColumn("lo", F.coalesce(F.pmod(hashed, "blocks"), F.lit(0)).cast("int"))
+    found = link(cut.drop("blocks").withColumn("hi", F.col("lo"))).checkpoint()
+
+    big = rows.join(_few(large), key, "left_semi").drop("label")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        return big.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
+
+    # one set of each component of a group
+    others = [c for c in big.columns if c != key]
+    one = labelled(found).groupBy(key, "label").agg(F.min(F.struct("fp", *(c for c in others if c != "fp"))).alias("one")).select(key, "label", "one.*").checkpoint()
+    many = one.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / BLOCK).alias("blocks")).checkpoint()
+    one = one.join(_few(many), key).withColumn("lo", F.pmod(hashed, "blocks").cast("int"))
+    found = found.union(link(one.drop("blocks").withColumn("hi", F.col("lo")))).checkpoint()
+
+    # what is still apart: large components have blocks of their own, small ones of a group share some
+    rest = labelled(found).checkpoint()
+    sizes = rest.groupBy(key, "label").count().checkpoint()
+    apart = sizes.groupBy(key).count().where("count > 1").select(key).checkpoint()
+    sizes = sizes.join(_few(apart), key, "left_semi")
+    spans = sizes.where(F.col("count") >= BLOCK).union(sizes.where(F.col("count") < BLOCK).groupBy(key).agg(F.lit(None).cast("binary").alias("label"), F.sum("count").alias("count")))
+    spans = spans.withColumn("width", F.ceil(F.col("count") / BLOCK))
+    own = Window.partitionBy(key)
+    spans = spans.withColumn("end", F.sum("width").over(own.orderBy("label"))).withColumn("blocks", F.sum("width").over(own)).drop("count").checkpoint()
+    wide = spans.where("label is not null")
+    pool = spans.where("label is null").select(key, F.col("end").alias("pool_end"), F.col("width").alias("pool_width"), F.col("blocks").alias("pool_blocks"))
+    rest = rest.join(_few(apart), key, "left_semi").join(_few(wide), [key, "label"], "left").join(_few(pool), key, "left")
+    lone = F.col("width").isNull()
+    at = F.when(lone, F.col("pool_end") - F.col("pool_width") + F.pmod(F.xxhash64("label"), "pool_width")).otherwise(F.col("end") - F.col("width") + F.pmod(hashed, "width"))
+    every = F.sequence(F.lit(0), F.coalesce("blocks", "pool_blocks").cast("int") - 1)
+    with_ = F.explode(F.filter(every, lambda x: lone | (x < F.col("end") - F.col("width")) | (x >= F.col("end"))))
+    rest = rest.withColumn("at", at.cast("int")).withColumn("with", with_).withColumns({"lo": F.least("at", "with"), "hi": F.greatest("at", "with")})
+    return found.union(link(rest.drop("width", "end", "blocks", "pool_end", "pool_width", "pool_blocks", "at", "with")))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -369,13 +440,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = sets.where("tokens is not null").select("fp", "n_shingles", "tokens").dropDuplicates(["fp"])
     prefixes = own.mapInArrow(_prefixes(percent), "token long, fp binary, n long, shared long, bits binary")
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    met = _blocked(prefixes, "token", BLOCK).withColumn("bucket", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(buckets)))
-    may = met.groupBy("bucket").applyInArrow(_meet(percent), "u binary, v binary")
-    candidates = components(may)
+
+    def meet(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(buckets)))
+        return dealt.groupBy("bucket").applyInArrow(_meet(percent), "u binary, v binary")
+
+    candidates = components(_connected(prefixes, "token", meet))
 
     inside = own.join(candidates.withColumnRenamed("node", "fp"), "fp")
-    links = _blocked(inside, "component", BLOCK).groupBy("component", "lo", "hi").applyInArrow(_links(percent), "u binary, v binary")
-    linked = components(links).withColumnRenamed("node", "fp")
+    walked = lambda rows: rows.groupBy("group", "lo", "hi").applyInArrow(_links(percent), "u binary, v binary")
+    linked = components(_connected(inside.withColumnRenamed("component", "group"), "group", walked)).withColumnRenamed("node", "fp")
 
     least = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
