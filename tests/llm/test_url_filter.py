@@ -1,9 +1,17 @@
 import duckdb
 import pytest
 
+from weftline.llm import url_filter
 from weftline.llm.url_filter import ORACLE_SQL, RULES, url_verdicts
 
 
+@pytest.fixture(params=["constant", "join"], autouse=True)
+def both_ways(request, monkeypatch):
+    """Rules in the plan, and rules joined by host."""
+    if request.param == "join":
+        monkeypatch.setattr(url_filter, "MOST_LITERAL", 0)
+
+
 def judge(spark, pages, redirects=None, rules=RULES):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     rules = spark.createDataFrame(rules, "action string, host string, path string")
@@ -51,6 +59,11 @@ def test_longest_rule_wins_and_repeated_rows_stay(spark):
     assert found == [(0, "allow"), (1, "allow"), (1, "allow"), (2, "block")]
 
 
+def test_of_two_equally_long_rules_the_allowing_one_wins(spark):
+    rules = [("block", "a.net", "/xy"), ("allow", "b.a.net", "/")]
+    assert judge(spark, [(1, "http://b.a.net/xyz", None)], rules=rules)[1].rule == "b.a.net/"
+
+
 def test_empty_table_and_no_python(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     out = url_verdicts(df, spark.createDataFrame(RULES, "action string, host string, path string"))

@@ -16,6 +16,9 @@ from weftline.llm.common import ascii_lower, components, prepared, table
 #: The rules of the query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+#: So many rules are put into the plan as a constant; more are joined by host.
+MOST_LITERAL = 100
+
 _TRACKING = r"[?&](utm_[a-z]+|ref|gclid|fbclid)=[^&#]*"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -52,14 +55,32 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.select("source", target.alias("target")).where("target is not null and source is not null")
 
 
+def _known(rules: DataFrame) -> DataFrame:
+    return rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.concat(ascii_lower(F.col("host")), "path").alias("rule"), "path", "action").distinct().where("rule is not null")
+
+
 def _ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds rule and action, by host and path; both null where no rule fits."""
+    few = _known(rules).limit(MOST_LITERAL + 1).collect()
+    return _ruled_by_constant(urls, few) if len(few) <= MOST_LITERAL else _ruled_by_join(urls, rules)
+
+
+def _ruled_by_constant(urls: DataFrame, rules: list) -> DataFrame:
+    """Without a shuffle: the first rule that fits, the longest ones first, of two equally long the allowing one."""
+    cases = F
+    for r in sorted(rules, key=lambda r: (-len(r.rule), r.action, r.rule, r.path)):
+        fits = ((F.col("host") == r.rule_host) | F.col("host").endswith("." + r.rule_host)) & F.col("path").startswith(r.path)
+        cases = cases.when(fits, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.action).alias("action")))
+    best = F.lit(None).cast("struct<rule:string,action:string>") if cases is F else cases
+    return urls.withColumn("best", best).withColumns({"rule": F.col("best.rule"), "action": F.col("best.action")}).drop("best")
+
+
+def _ruled_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = urls.select("host").distinct()
     labels = F.split("host", r"\.")
     ends = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host"))
-    known = rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.concat("host", "path").alias("rule"), "path", "action").distinct()
     # longest first; of two equally long the allowing one
-    fitting = ends.join(known, "rule_host").groupBy("host").agg(
+    fitting = ends.join(_known(rules), "rule_host").groupBy("host").agg(
         F.array_sort(F.collect_list(F.struct((-F.char_length("rule")).alias("order"), "action", "rule", "path"))).alias("rules")
     )
     joined = urls.join(fitting, "host", "left")
