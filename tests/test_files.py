@@ -55,6 +55,15 @@ def test_files(spark, tmp_path):
             missing()
 
 
+def test_views_below_a_folder(spark, tmp_path):
+    top = F.Files(spark).folder(str(tmp_path / "sub"))
+    top.write_text("a/b.txt", "x")
+    assert (tmp_path / "sub/a/b.txt").read_text() == "x" and top.isfile("/a/b.txt") and top.isdir("/")
+    inner = top.folder("a")
+    assert inner.read_text("b.txt") == "x"
+    assert not top.folder("a", recreate=True).exists("b.txt")
+
+
 def test_archives(spark, tmp_path):
     fs, target = F.Files(spark), str(tmp_path / "x.zip")
     with fs.zip_temp(target) as folder:

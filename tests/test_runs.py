@@ -89,6 +89,23 @@ def test_size_slices(spark):
     assert [r["slice_no"] for r in out] == [0, 0, 1, 2, 3]
 
 
+def test_size_slices_agree_with_the_walk_in_every_group(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.0, float("nan"), None]), i, rng.choice([None, 1, 4, 9, 40])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, h double, i long, s int").repartition(5)
+    found = {r.i: r.n for r in runs.size_slices(df, ["g", "h"], ["i"], F.col("s"), 20, row_limit=4, slice_name="n").collect()}
+    groups_ = {}
+    for g, h, i, s in rows:
+        groups_.setdefault((g, 1.0 if h == 1.0 else None), []).append((i, s or 0))
+    for own in groups_.values():
+        assert [found[i] for i, _ in own] == runs.greedy_slices(np.array([s for _, s in own]), 20, 4).tolist()
+
+
+def test_groups_with_commas_in_their_names(spark):
+    df = spark.createDataFrame([("a, b", "c", 0, 5), ("a", "b, c", 1, 5), ("a, b", "c", 2, 5)], "g string, h string, i int, s int")
+    assert {r.i: r.slice_no for r in runs.size_slices(df, ["g", "h"], ["i"], F.col("s"), 9).collect()} == {0: 0, 1: 0, 2: 1}
+
+
 def test_group_apply_has_null_groups_and_a_fresh_index(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 1.0), (None, None), (None, float("nan"))], "k string, v double")
     out = groups.group_apply(df, ["k", "v"], lambda g: g.assign(n=len(g), top=g.index.max()), "k:str,v:double,n:long,top:long")

@@ -13,6 +13,8 @@ from typing import Any
 
 from weftline.errors import NoneArgumentError
 
+NAN, INF, NEGATIVE_INF = float("nan"), float("inf"), float("-inf")
+
 #: Fixed values.
 _TRUE, _FALSE = {"true", "yes", "1"}, {"false", "no", "0"}
 _SIZES = {"": 0, "b": 0, "k": 1, "kb": 1, "m": 2, "mb": 2, "g": 3, "gb": 3, "t": 4, "tb": 4, "p": 5, "pb": 5, "e": 6, "eb": 6}

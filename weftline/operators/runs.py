@@ -7,10 +7,11 @@ itself, and the blocks' counts, a row a block, are summed and added. No window e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from weftline.functions.types import equality, from_spark
 BLOCK_ROWS = 200_000
 #: Blocks at most; beyond, blocks hold more rows.
 MOST_BLOCKS = 4096
+#: Cuts between blocks that are looked at together.
+STEP = 64
 
 
 def comparable(df: DataFrame, key: str) -> Column:
@@ -45,7 +48,10 @@ def _blocks(df: DataFrame, order: str) -> DataFrame:
     if blocks == 1:
         return df.withColumn("__block", F.lit(0))
     cuts = sorted(set(df.agg(F.percentile_approx(at, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0]))
-    return df.withColumn("__block", F.coalesce(F.size(F.filter(F.lit(cuts), lambda c: c < at)), F.lit(0)))
+    # the cuts below, counted in steps first and then within a step
+    coarse = F.size(F.filter(F.lit(cuts[STEP - 1 :: STEP] or [float("inf")]), lambda c: c < at)) * STEP
+    fine = F.size(F.filter(F.slice(F.lit(cuts), coarse + 1, F.lit(STEP)), lambda c: c < at))
+    return df.withColumn("__block", F.coalesce(F.when(at.isNotNull(), coarse + fine), F.lit(0)))
 
 
 def run_numbers(df: DataFrame, keys: list[str], order_by: list[str], partition_by: list[str] | None = None, name: str = "run_no") -> DataFrame:
@@ -110,14 +116,27 @@ def greedy_slices(sizes: np.ndarray, size_limit: float, row_limit: int = 0, cut:
 
 
 def size_slices(df: DataFrame, group_by: list[str], order_by: list[str], size: Column, size_limit: float, row_limit: int = 0, slice_name: str = "slice_no") -> DataFrame:
-    """Adds greedy slices by size within each group, in order. The walk is sequential, so a group is one task's work: only
-    the group, order and size columns go through it."""
-    kept = df.columns
-    narrow = df.withColumn("__size", size.cast("double"))
-    schema = T.StructType([*narrow.schema.fields, T.StructField(slice_name, T.LongType())])
+    """Adds greedy slices by size within each group, in order; null and NaN keys are one group, a null size is 0.
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order_by, kind="stable").reset_index(drop=True)
-        return group.assign(**{slice_name: greedy_slices(group["__size"].to_numpy(), size_limit, row_limit)})
-
-    return narrow.groupBy(*[F.col(f"`{c}`") for c in group_by]).applyInPandas(cut, schema).select(*[F.col(f"`{c}`") for c in kept], slice_name)
+    The walk is sequential, so a group goes through one task, but batch by batch: what is held is three numbers.
+    """
+    keys = [comparable(df, c) for c in group_by]
+    wide = df.withColumns({"__group": F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))), "__size": F.coalesce(size.cast("double"), F.lit(0.0))})
+    ordered = wide.repartition("__group").sortWithinPartitions("__group", *[F.col(f"`{c}`") for c in order_by])
+    schema = T.StructType([*ordered.schema.fields, T.StructField(slice_name, T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, total, rows = None, 0, 0.0, 0
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            groups, sizes = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__group", "__size"))
+            for i, (group, own) in enumerate(zip(groups, sizes, strict=True)):
+                if group != last:
+                    last, number, total, rows = group, 0, 0.0, 0
+                elif (size_limit > 0 and total + own > size_limit) or 0 < row_limit <= rows:
+                    number, total, rows = number + 1, 0.0, 0
+                total, rows = total + own, rows + 1
+                out[i] = number
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, slice_name])
+
+    return ordered.mapInArrow(cut, schema).drop("__group", "__size")

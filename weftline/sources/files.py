@@ -65,16 +65,30 @@ def split_root(path: str) -> tuple[str, str, str]:
 
 
 class Files:
-    """One view of all file systems that the session reaches. Absolute paths only, but for local ones, which may be relative."""
+    """One view of all file systems that the session reaches. Absolute paths only, but for local ones, which may be relative.
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    With a root, paths are below it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root
         self._jvm = spark._jvm
 
     def _at(self, path: str) -> tuple[Any, Any]:
+        path = path if self.root is None else join(self.root, path.strip("/")) if path.strip("/") else self.root
         path = path if has_scheme(path) else "file://" + os.path.abspath(path)
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        return self.file_system(path), self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def file_system(self, url: str) -> Any:
+        """Hadoop's file system of a URL; a subclass may give another."""
+        return self._jvm.org.apache.hadoop.fs.Path(url).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def folder(self, path: str, recreate: bool = False) -> Files:
+        """A view below a folder, which is made if it is not there, or made anew."""
+        if recreate and self.exists(path):
+            self.rm(path, recursive=True)
+        self.makedirs(path, exist_ok=True)
+        return type(self)(self.spark, path if self.root is None else join(self.root, path.strip("/")))
 
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
