@@ -338,14 +338,11 @@ class _Trie:
             return
         has = np.zeros(universe, bool)
         has[tokens] = True
-        sums = np.zeros(len(self.pool) + 1, np.int64)
-        np.cumsum(has[self.pool], out=sums[1:])
-        sums = sums.tolist()
         whole = 100 + percent
         stack = [(self.root, 0)]
         while stack:
             node, overlap = stack.pop()
-            overlap += sums[node[1]] - sums[node[0]]
+            overlap += np.count_nonzero(has[self.pool[node[0] : node[1]]])
             if whole * min(overlap + node[3], len(tokens)) < percent * (size + node[2]):
                 continue
             for i in node[5]:
@@ -388,24 +385,30 @@ def _connected(rows: DataFrame, key: str, link: Callable[[DataFrame], DataFrame]
         return link(rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)}))
     hashed = F.xxhash64("fp")
     cut = rows.join(_few(large), key, "left").withColumn("lo", F.coalesce(F.pmod(hashed, "blocks"), F.lit(0)).cast("int"))
-    found = link(cut.drop("blocks").withColumn("hi", F.col("lo"))).checkpoint()
 
+    def stars(edges: DataFrame) -> DataFrame:
+        """An edge from each set to its component's least one."""
+        return components(edges).select(F.col("node").alias("u"), F.col("component").alias("v")).checkpoint()
+
+    found = stars(link(cut.drop("blocks").withColumn("hi", F.col("lo"))))
     big = rows.join(_few(large), key, "left_semi").drop("label")
 
-    def labelled(edges: DataFrame) -> DataFrame:
-        return big.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component")
+    def labelled() -> DataFrame:
+        return big.join(_few(found).withColumnRenamed("u", "fp"), "fp", "left").withColumn("label", F.coalesce("v", "fp")).drop("v")
 
     # one set of each component of a group
-    others = [c for c in big.columns if c != key]
-    one = labelled(found).groupBy(key, "label").agg(F.min(F.struct("fp", *(c for c in others if c != "fp"))).alias("one")).select(key, "label", "one.*").checkpoint()
+    others = [c for c in big.columns if c not in (key, "fp")]
+    one = labelled().groupBy(key, "label").agg(F.min(F.struct("fp", *others)).alias("one")).select(key, "label", "one.*").checkpoint()
     many = one.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / BLOCK).alias("blocks")).checkpoint()
     one = one.join(_few(many), key).withColumn("lo", F.pmod(hashed, "blocks").cast("int"))
-    found = found.union(link(one.drop("blocks").withColumn("hi", F.col("lo")))).checkpoint()
+    found = stars(found.union(link(one.drop("blocks").withColumn("hi", F.col("lo")))))
 
     # what is still apart: large components have blocks of their own, small ones of a group share some
-    rest = labelled(found).checkpoint()
+    rest = labelled()
     sizes = rest.groupBy(key, "label").count().checkpoint()
     apart = sizes.groupBy(key).count().where("count > 1").select(key).checkpoint()
+    if apart.isEmpty():
+        return found
     sizes = sizes.join(_few(apart), key, "left_semi")
     spans = sizes.where(F.col("count") >= BLOCK).union(sizes.where(F.col("count") < BLOCK).groupBy(key).agg(F.lit(None).cast("binary").alias("label"), F.sum("count").alias("count")))
     spans = spans.withColumn("width", F.ceil(F.col("count") / BLOCK))
@@ -437,7 +440,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     back = sent.groupBy("r").applyInArrow(_shared_in_range, "bid long, tokens binary, owners binary, meta binary")
     sets = back.groupBy("bid").applyInArrow(_survivors_of_batch(percent), "doc_id long, n_shingles long, fp binary, tokens binary").checkpoint()
 
-    own = sets.where("tokens is not null").select("fp", "n_shingles", "tokens").dropDuplicates(["fp"])
+    own = sets.where("tokens is not null").select("fp", "n_shingles", "tokens").dropDuplicates(["fp"]).checkpoint()
     prefixes = own.mapInArrow(_prefixes(percent), "token long, fp binary, n long, shared long, bits binary")
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
 
@@ -445,9 +448,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(buckets)))
         return dealt.groupBy("bucket").applyInArrow(_meet(percent), "u binary, v binary")
 
-    candidates = components(_connected(prefixes, "token", meet))
+    candidates = components(_connected(prefixes, "token", meet)).checkpoint()
 
-    inside = own.join(candidates.withColumnRenamed("node", "fp"), "fp")
+    inside = own.join(_few(candidates).withColumnRenamed("node", "fp"), "fp")
     walked = lambda rows: rows.groupBy("group", "lo", "hi").applyInArrow(_links(percent), "u binary, v binary")
     linked = components(_connected(inside.withColumnRenamed("component", "group"), "group", walked)).withColumnRenamed("node", "fp")
 
