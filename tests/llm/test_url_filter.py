@@ -19,16 +19,19 @@ def judge(spark, pages, redirects=None, rules=RULES):
     return {r.page_id: r for r in url_verdicts(df, rules, links).collect()}
 
 
-@pytest.mark.parametrize("url,host,path,rule,verdict", [
+CASES = [
     (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("example.org/es/", "", "", None, "allow"),
     ("http://Example.ORG/es/x?q#f", "example.org", "/es/x", "example.org/es/", "block"), ("https://a.b.example.org/en/12", "a.b.example.org", "/en/12", "example.org/en/1", "block"),
     ("http://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("http://badexample.org/es/", "badexample.org", "/es/", "org/", "allow"), ("http://example.org", "example.org", "", None, "allow"),
     ("http://x.com/de/1", "x.com", "/de/1", "com/de/", "block"), ("http://x.com/fr/1", "x.com", "/fr/1", "com/fr/", "allow"), ("http://com/de/", "com", "/de/", "com/de/", "block"), ("http://x.net/de/", "x.net", "/de/", None, "allow"),
     ("ftp://X.com?/de/", "x.com", "", None, "allow"), ("a://b://x.com/de/", "b:", "//x.com/de/", None, "allow"), ("http:///de/", "", "/de/", None, "allow"), ("http://É.com/de/\n", "É.com", "/de/\n", "com/de/", "block"),
-])
-def test_rules(spark, url, host, path, rule, verdict):
-    r = judge(spark, [(1, url, None)])[1]
-    assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+]
+
+
+def test_rules(spark):
+    found = judge(spark, [(i, url, None) for i, (url, *_) in enumerate(CASES)])
+    for i, (url, *expected) in enumerate(CASES):
+        assert [found[i].host, found[i].path, found[i].rule, found[i].verdict] == expected, url
 
 
 def test_aliases_inherit_blocks_and_allows_win(spark):
