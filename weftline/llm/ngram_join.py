@@ -41,7 +41,9 @@ MOST_BROADCAST = 200_000
 #: Bits of a bitmap at most; larger sets are told apart by fewer bits than n-grams.
 MOST_BITS = 2048
 
-_U64 = np.dtype("<u8")
+#: Bytes of an n-gram's hash that leave a task: the high ones. Two n-grams of a pair of sets of 400 are taken for one with a
+#: chance of 2e-12.
+HASH_BYTES = 7
 
 
 def _need(size: int, percent: int) -> int:
@@ -66,7 +68,7 @@ def _by_owner(tokens: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
     So a row's bytes follow its tokens, however few of a batch's n-grams a range gets.
     """
     steps = np.diff(owner, prepend=0)
-    return tokens.tobytes(), steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint32).tobytes()
+    return _packed(tokens), steps.astype(np.uint8 if steps.max(initial=0) < 256 else np.uint32).tobytes()
 
 
 def _owners(steps: bytes, tokens: int) -> np.ndarray:
@@ -129,8 +131,14 @@ def _table(rows: list[tuple], spec: str) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, spec)])
 
 
-def _u64(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, _U64)
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
+
+
+def _u64(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES :] = np.frombuffer(packed, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
 
 
 def _shared_in_range(rows: pa.Table) -> pa.Table:
@@ -172,7 +180,7 @@ def _survivors_of_batch(percent: int) -> Callable[[pa.Table], pa.Table]:
                 seen.add(k)
                 own = tokens[bounds[k] : bounds[k + 1]]
                 if len(own) >= _need(size, percent):
-                    found = own.tobytes()
+                    found = _packed(own)
             out.append((doc, size, prints[k] if k >= 0 else None, found))
         return _table(out, "doc_id:l,n_shingles:l,fp:b,tokens:b")
 
