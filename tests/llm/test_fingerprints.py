@@ -90,6 +90,43 @@ def test_every_long_text_has_anchors_and_any_change_is_local(spark):
     assert hit == sorted(hit) and len(hit) > 0.9 * r.s
 
 
+def near_copies(spark, pairs):
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    return [r.n for r in df.select("i", likeness(anchors(F.col("a")), anchors(F.col("b"))).alias("n")).orderBy("i").collect()]
+
+
+def overlap(a, b, k=6):
+    a, b = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+def test_texts_of_20_to_28_words_against_brute_force(spark):
+    rng = random.Random(8)
+    pairs = []
+    for n in range(20, 29):
+        for m in range(20, 29):
+            for kept in (12, 16, 20):
+                base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                pairs.append((base, base[:m] if kept == 20 else base[:kept] + [f"v{rng.randrange(10**6)}" for _ in range(m - kept)]))
+    found = near_copies(spark, pairs)
+    expected = [overlap(a, b) for a, b in pairs]
+    assert min(found) > 0
+    for kept in range(3):
+        mean = [sum(x[kept::3]) / len(x[kept::3]) for x in (found, expected)]
+        assert mean[0] == pytest.approx(mean[1], abs=0.06)
+    across = [i for i, (a, b) in enumerate(pairs) if (len(a) < 24) != (len(b) < 24)]
+    assert sum(found[i] for i in across) == pytest.approx(sum(expected[i] for i in across), rel=0.15)
+
+
+def test_no_length_parts_near_copies(spark):
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(n)] for n in range(2, 30) for _ in range(60)]
+    found = near_copies(spark, [(base, base[:-1]) for base in bases])
+    for n in range(2, 30):
+        some = found[60 * (n - 2) : 60 * (n - 1)]
+        assert sum(some) / 60 > 0.6 and sum(x > 0 for x in some) >= 55, n
+
+
 def test_query_over_the_whole_table_without_python(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     df = op10_fingerprints(spark, SF)

@@ -2,7 +2,8 @@
 
 Words are hashed in neighbouring pairs (the inner substrings, s = 2 words). A k-mer of k = 6 words is an anchor when
 the least of its 5 inner hashes is the first or the last of them. That depends on the k-mer's own words alone, so an edit
-moves no anchor outside the k words around it. A fingerprint lists the anchors in the order of their positions.
+moves no anchor outside the k words around it. A fingerprint lists the anchors in the order of their positions, after
+single words if the text has fewer than 2 * k.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 def anchors(text: Column, k: int = K) -> Column:
     """Hashes (24 bits, as integers) of the closed syncmers of a text's words, by position.
 
-    A text of fewer than 4 * k words, which may have no anchor or one, has each word as an anchor; an empty one has none.
+    Any 9 words in a row (of k = 6) hold a syncmer, so texts that share such a run share an anchor at every length. Below 2 * k
+    words, where syncmers are few or none, words with small hashes come before them: all words below k, then ever fewer,
+    the same ones in all texts of one length. So no length parts two kinds of lists. An empty text has none.
     """
     width = k - 1  # inner hashes of a k-mer
 
@@ -54,8 +57,12 @@ def anchors(text: Column, k: int = K) -> Column:
         return F.transform(kept, lambda i: _bits(F.xxhash64(*(F.get(pairs, i + d) for d in range(0, width, 2)))))
 
     def of_words(w: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
-        return F.when(F.size(w) >= 4 * k, _once(inner, picked)).otherwise(F.transform(w, lambda x: _bits(F.xxhash64(x))))
+        n = F.size(w)
+        inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
+        syncmers = F.when(n >= k, _once(inner, picked)).otherwise(F.array().cast("array<int>"))
+        hashed = F.transform(w, lambda x: _bits(F.xxhash64(x)))
+        few = F.filter(hashed, lambda h: h.cast("long") * (k + 1) < (2 * k - n).cast("long") * (1 << 24))
+        return _once(syncmers, lambda found: F.when(n < 2 * k, F.concat(few, found)).otherwise(found))
 
     return _once(words(text), of_words)
 
