@@ -63,6 +63,29 @@ def test_added_spans_overlap_no_base_span(spark, ratios):
     assert r.s == f"assign:0:{9 + len(secret)},markov:{10 + len(secret)}:{10 + 2 * len(secret)}"
 
 
+def marked(spark, ratios, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.markov) for r in secret_spans(df, ratios).select("doc_id", "text", "markov").collect()}
+    return [[found[i][0][s.start : s.end] for s in found[i][1]] for i in range(len(texts))]
+
+
+SLUGS = [
+    "the-quick-brown-fox-jumps-over-lazy", "well-known-open-source", "Content-Type-Options-nosniff", "en/news/world-europe-12345678", "jack-of-all-trades", "2024-05-17/report-of-the-year",
+    "the+quick+brown+fox+jumps+over", "name=value/other=thing", "2023/11/30/how-to-write-tests", "state-of-the-art-methods", "src/main/resources/application-production", "X-Forwarded-Protocol-Version",
+]
+
+
+def test_slugs_headers_and_dated_paths_are_ordinary(spark, ratios):
+    found = marked(spark, ratios, [f"see {x} here" for x in SLUGS])
+    assert not any(found), [x for x, f in zip(SLUGS, found, strict=True) if f]
+
+
+def test_ordinary_samples_come_from_all_documents_and_hold_joined_words(spark):
+    docs = spark.createDataFrame([(i, f"word{i:05d} well-known_x") for i in range(2500)], "doc_id long, text string")
+    found = {r[0] for r in labelled_samples(docs).where("secret = 0").select("sample").collect()}
+    assert "well-known_x" in found and sum(x.startswith("word") for x in found) == 2500
+
+
 def test_redaction_and_clashing_columns(spark, ratios):
     docs = spark.createDataFrame([(1, "é password=hunter22 and 0123456789abcdef01234567!", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, spans string")
     found = {r.doc_id: r.t for r in secret_spans(docs, ratios).select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}

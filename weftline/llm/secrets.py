@@ -29,8 +29,8 @@ _SIDE = len(ALPHABET) + 1
 
 #: Least log-likelihood ratio, in nats: of the whole run, and of each pair on average.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
-#: Documents whose identifiers are labelled ordinary, at most: those with the least hash of their id.
-MAX_SAMPLE_DOCS = 2000
+#: Ratio of every pair with a sign. Prose has few joined words to learn from, and words joined by signs are no secret for it.
+SIGN_RATIO = -4.5
 
 _SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
 
@@ -77,11 +77,11 @@ def _codes(run: Column) -> Column:
     return F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_SAMPLE_DOCS) -> DataFrame:
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(sample, secret): random strings in three alphabets, made from digests of numbers, and ordinary identifiers.
 
-    Ordinary are the runs of 6 letters, digits or underscores and more, but for those of 16 and more with a digit, in at
-    most max_docs documents, and long decimal numbers.
+    Ordinary are the runs of 6 signs of the alphabet and more, but for those of 16 and more with a digit, in all documents,
+    and long decimal numbers.
     """
     spark = docs.sparkSession
     numbers = spark.range(3000, numPartitions=2)
@@ -89,25 +89,29 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     upper = F.upper(F.translate(F.substring(F.base64(F.unhex(digest)), 1, 24), "+/=abcdef", "234567XYZ"))
     random = numbers.select(F.explode(F.array(F.substring(digest, 1, 40), F.substring(F.base64(F.unhex(digest)), 1, 40), upper)).alias("sample"), F.lit(1).alias("secret"))
     decimals = numbers.select(F.regexp_replace(F.conv(F.substring(digest, 1, 15), 16, 10), "^", "9").alias("sample"), F.lit(0).alias("secret"))
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(ids), "_id")
-    words = texts.select(F.explode(F.regexp_extract_all("_text", F.lit(r"[A-Za-z0-9_]{6,}"), F.lit(0))).alias("sample"), F.lit(0).alias("secret"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("sample"), F.lit(0).alias("secret"))
     return random.union(decimals).union(words.where(r"not (length(sample) >= 16 and sample rlike '[0-9]')"))
 
 
 def pair_ratios(samples: DataFrame) -> list[float]:
     """For each pair of characters the log of its conditional likelihood in secrets over that in ordinary samples.
 
-    Counts of 0.5 are added to every pair. A class without samples is even. Null samples do not count.
+    Counts of 0.5 are added to every pair. A class without samples is even. Null samples do not count. Pairs with a sign
+    (+ / _ = -) have SIGN_RATIO.
     """
-    codes = samples.where("sample is not null").select("secret", _codes(F.col("sample")).alias("c"))
-    pairs = codes.select("secret", F.explode(F.arrays_zip(F.col("c").alias("a"), F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))).alias("b"))).alias("p"))
-    counted = pairs.where("p.b is not null").groupBy("secret", "p.a", "p.b").count().collect()  # 2 * 67 * 67 rows at most
+    distinct = samples.where("sample is not null").groupBy("secret", "sample").count()
+    codes = distinct.select("secret", F.col("count").alias("n"), _codes(F.col("sample")).alias("c"))
+    pairs = codes.select("secret", "n", F.explode(F.arrays_zip(F.col("c").alias("a"), F.slice("c", 2, F.greatest(F.size("c"), F.lit(1))).alias("b"))).alias("p"))
+    counted = pairs.where("p.b is not null").groupBy("secret", "p.a", "p.b").agg(F.sum("n")).collect()  # 2 * 67 * 67 rows at most
     tables = [[0.5] * (_SIDE * _SIDE) for _ in range(2)]
     for secret, a, b, n in counted:
         tables[secret][a * _SIDE + b] += n
     rows = [[sum(t[a * _SIDE : (a + 1) * _SIDE]) for a in range(_SIDE)] for t in tables]
-    return [math.log(tables[1][i] / rows[1][i // _SIDE]) - math.log(tables[0][i] / rows[0][i // _SIDE]) for i in range(_SIDE * _SIDE)]
+    signs = {i + 1 for i, c in enumerate(ALPHABET) if not c.isalnum()}
+    return [
+        SIGN_RATIO if signs & {*divmod(i, _SIDE)} else math.log(tables[1][i] / rows[1][i // _SIDE]) - math.log(tables[0][i] / rows[0][i // _SIDE])
+        for i in range(_SIDE * _SIDE)
+    ]
 
 
 def log_ratio(run: Column, ratios: list[float]) -> Column:
