@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import re
 
@@ -69,6 +70,18 @@ def marked(spark, ratios, texts):
     return [[found[i][0][s.start : s.end] for s in found[i][1]] for i in range(len(texts))]
 
 
+def test_keys_in_long_paths_are_found_and_the_path_stays(spark, ratios):
+    path = "production/authentication/configuration/service/account/internal/credentials/"
+    for n, least in ((16, 54), (24, 58)):
+        keys = [k[:n] for k in random_strings(60)]
+        assert sum(x == [k] for x, k in zip(marked(spark, ratios, [path + k for k in keys]), keys, strict=True)) >= least
+        assert sum(x == [k] for x, k in zip(marked(spark, ratios, [f"{path}{k}/{path}end" for k in keys]), keys, strict=True)) >= least
+    keys = random_strings(60)
+    two = marked(spark, ratios, [f"{a}/{path}{b}" for a, b in zip(keys, keys[1:], strict=False)])
+    assert sum(x == [a, b] for x, a, b in zip(two, keys, keys[1:], strict=False)) >= 55
+    assert sum(k in "".join(x) for x, k in zip(marked(spark, ratios, [f"productionAuthenticationConfigurationServiceAccountInternalCredentials{k}" for k in keys]), keys, strict=True)) >= 57
+
+
 SLUGS = [
     "the-quick-brown-fox-jumps-over-lazy", "well-known-open-source", "Content-Type-Options-nosniff", "en/news/world-europe-12345678", "jack-of-all-trades", "2024-05-17/report-of-the-year",
     "the+quick+brown+fox+jumps+over", "name=value/other=thing", "2023/11/30/how-to-write-tests", "state-of-the-art-methods", "src/main/resources/application-production", "X-Forwarded-Protocol-Version",
@@ -86,6 +99,17 @@ def test_ordinary_samples_come_from_all_documents_and_hold_joined_words(spark):
     assert "well-known_x" in found and sum(x.startswith("word") for x in found) == 2500
 
 
+def test_keys_with_signs_are_found(spark, ratios):
+    keys = [base64.b64encode(hashlib.sha512(str(i).encode()).digest()[:30]).decode() for i in range(60)]
+    found = marked(spark, ratios, [f"key {k} end" for k in keys])
+    assert sum(sum(map(len, x)) >= 36 for x in found) >= 54
+
+
+def test_keys_beside_base_spans_are_found(spark, ratios):
+    keys = random_strings(30)
+    assert sum(x == [k] for x, k in zip(marked(spark, ratios, [f"{'0123456789abcdef' * 2}/{k}" for k in keys]), keys, strict=True)) >= 28
+
+
 def test_redaction_and_clashing_columns(spark, ratios):
     docs = spark.createDataFrame([(1, "é password=hunter22 and 0123456789abcdef01234567!", "x"), (2, None, "y"), (3, "clean", "z")], "doc_id long, text string, spans string")
     found = {r.doc_id: r.t for r in secret_spans(docs, ratios).select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}

@@ -1,8 +1,8 @@
 """Operator 7: secrets in texts, in DataFrame functions only.
 
 Three patterns give the base spans. Beyond them, long runs of letters, digits and a few signs are scored by two Markov
-models of neighbouring characters, one of random strings and one of ordinary identifiers: a run whose log-likelihood
-ratio reaches the threshold is a secret. Spans are in code points, ends exclusive. No row is shuffled: the models are a
+models of neighbouring characters, one of random strings and one of ordinary identifiers: a part of a run whose
+log-likelihood ratio reaches the threshold is a secret, with the rest of the words that it touches. Spans are in code points, ends exclusive. No row is shuffled: the models are a
 table of 67 * 67 numbers, counted from labelled samples and put into the plan as a constant.
 """
 
@@ -27,7 +27,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _SIDE = len(ALPHABET) + 1
 
-#: Least log-likelihood ratio, in nats: of the whole run, and of each pair on average.
+#: A part of so many characters is judged by itself, a shorter one with the rest of its words, so many together.
+LEAST_PART = 16
+#: Words of a run lie between these signs; + belongs to them.
+_LAST_WORD, _FIRST_WORD = r"[A-Za-z0-9+]*$", r"^[A-Za-z0-9+]*"
+
+#: Least log-likelihood ratio, in nats: of a part, and of each pair on average.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
 #: Ratio of every pair with a sign. Prose has few joined words to learn from, and words joined by signs are no secret for it.
 SIGN_RATIO = -4.5
@@ -114,20 +119,69 @@ def pair_ratios(samples: DataFrame) -> list[float]:
     ]
 
 
-def log_ratio(run: Column, ratios: list[float]) -> Column:
-    """Sum over a run's neighbouring characters."""
-    constant = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a blank for each character of a span."""
+
+    def add(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        end = F.greatest(acc["at"], s["end"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    def total(c: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(constant, F.get(c, i - 1) * _SIDE + F.get(c, i)))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blank = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, blank).otherwise(text)
 
-    return _once(_codes(run), total)
+
+def _parts(run: Column, ratios: list[float], least_total: float, least_mean: float) -> Column:
+    """(a, b) of every part of a run that is a secret: code points from a to b, exclusive.
+
+    A part begins where the sum of the ratios over neighbouring characters leaves 0 and ends at its peak, when the sum falls back to 0
+    or by least_total below the peak. It is taken if it has least_total, and least_mean a pair either over LEAST_PART
+    characters or over the whole words (between signs) that it touches. Those words are the part.
+    """
+    constant = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def found(acc: Column) -> Column:
+        a = acc["first"] - F.char_length(F.regexp_extract(F.left(run, acc["first"]), _LAST_WORD, 0))
+        b = acc["last"] + F.char_length(F.regexp_extract(F.substring(run, acc["last"] + 1, F.char_length(run)), _FIRST_WORD, 0))
+        n = acc["last"] - acc["first"]
+        one = F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+        fits = _once(one, lambda x: ((n >= LEAST_PART) & (acc["peak"] >= least_mean * (n - 1))) | ((x["b"] - x["a"] >= LEAST_PART) & (acc["peak"] >= least_mean * (x["b"] - x["a"] - 1))))
+        return F.when(acc["peak"] >= least_total, F.when(fits, F.array(one)).otherwise(none)).otherwise(none)
+
+    def walked(c: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            x = F.get(constant, F.get(c, i - 1) * _SIDE + F.get(c, i))
+            closed = (acc["sum"] + x <= 0) | (acc["sum"] + x < acc["peak"] - least_total)
+            top = acc["sum"] + x > acc["peak"]
+            return F.struct(
+                F.when(closed, 0.0).otherwise(acc["sum"] + x).alias("sum"),
+                F.when(closed, 0.0).when(top, acc["sum"] + x).otherwise(acc["peak"]).alias("peak"),
+                F.when(closed, i).otherwise(acc["first"]).cast("int").alias("first"),
+                F.when(closed, i).when(top, i + 1).otherwise(acc["last"]).cast("int").alias("last"),
+                F.when(closed, F.concat(acc["parts"], found(acc))).otherwise(acc["parts"]).alias("parts"),
+            )
+
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("first"), F.lit(0).alias("last"), none.alias("parts"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), zero, step, lambda acc: F.concat(acc["parts"], found(acc)))
+
+    def merged(parts: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            before = F.element_at(acc, -1)
+            grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(before["a"].alias("a"), F.greatest(before["b"], x["b"]).alias("b"))))
+            return F.when(F.size(acc) == 0, F.array(x)).when(x["a"] < before["b"], grown).otherwise(F.concat(acc, F.array(x)))
+
+        return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(parts, none, add))
+
+    return _once(_once(_codes(run), walked), merged)
 
 
 def secret_spans(docs: DataFrame, ratios: list[float], text_col: str = "text", least_total: float = LEAST_TOTAL, least_mean: float = LEAST_MEAN) -> DataFrame:
     """The rows with columns assign, access, hex, markov, base and spans: arrays of (start, place, kind, end) by start, then kind.
 
-    base has the first three kinds, spans all. A markov span overlaps no base span. A null text has none. Columns of
+    base has the first three kinds, spans all. A markov span overlaps no base span: runs are sought beside them. A null text has none. Columns of
     these names are replaced.
     """
     prepared(docs.sparkSession)
@@ -136,14 +190,17 @@ def secret_spans(docs: DataFrame, ratios: list[float], text_col: str = "text", l
     out = docs.withColumns({"assign": assign, "access": access, "hex": hexes})
     out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
 
-    def judged(s: Column) -> Column:
-        run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        free = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        pairs = s["end"] - s["start"] - 1
-        return free & _once(log_ratio(run, ratios), lambda x: (x >= least_total) & (x >= least_mean * pairs))
+    masked = _masked(text, F.col("base"))
 
-    runs = F.when(text.rlike(CANDIDATE), _found(text, CANDIDATE, "markov", 3))
-    out = out.withColumn("markov", F.coalesce(F.filter(runs, judged), F.array().cast(_SPAN)))
+    def judged(s: Column) -> Column:
+        run = F.substring(masked, s["start"] + 1, s["end"] - s["start"])
+        return F.transform(
+            _parts(run, ratios, least_total, least_mean),
+            lambda x: F.struct((s["start"] + x["a"]).alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), (s["start"] + x["b"]).alias("end")),
+        )
+
+    runs = F.when(masked.rlike(CANDIDATE), _found(masked, CANDIDATE, "markov", 3))
+    out = out.withColumn("markov", F.coalesce(F.flatten(F.transform(runs, judged)), F.array()).cast(_SPAN))
     return out.withColumn("spans", F.array_sort(F.concat("base", "markov")))
 
 
