@@ -48,6 +48,19 @@ def test_aliases_inherit_blocks_and_allows_win(spark):
     }
 
 
+def test_targets_relative_to_the_page_all_tags_and_escapes(spark):
+    link, hop = "<link rel=canonical href='{}'>", "<meta http-equiv='refresh' content='0; url={}'>"
+    chain = [
+        ("http://a.net/x/y/1.html?q=1&r=2", link.format("2.html")), ("http://a.net/x/y/2.html", hop.format("../z/./3")), ("http://a.net/x/z/3", link.format("?id=2&amp;k=3")),
+        ("http://a.net/x/z/3?id=2&k=3", link.format("/up") + link.format("../../../top/")), ("http://a.net/top", hop.format("http://b.net/1") + hop.format("//c.net/2")),
+        ("http://c.net/2", link.format("http://a.net/x/y/1.html?q=9") + link.format("http://x.com/de/1?a=1&#38;b=2")), ("http://b.net/1", ""), ("http://a.net/up", ""), ("http://root.net", link.format("page")), ("http://root.net/page", link.format("http://b.net/1")),
+    ]
+    apart = [("http://a.net/x/y/9.html", link.format("mailto:a@b.net")), ("http://a.net/x/2.html", link.format("")), ("http://a.net/y/2.html", link.format("#top"))]
+    found = judge(spark, [(i, *p) for i, p in enumerate(chain)] + [(100 + i, *p) for i, p in enumerate(apart)])
+    assert {chain[i][0]: (found[i].verdict, found[i].alias) for i in range(len(chain))} == {u: ("block", "component") for u, _ in chain}
+    assert {found[100 + i].alias for i in range(len(apart))} == {"default"}
+
+
 def test_long_chains_and_hubs(spark):
     pages = [(i, f"http://n{i}.net/p", f"<link rel=canonical href=http://n{i + 1}.net/p>") for i in range(40)] + [(100 + i, f"http://h{i}.net/", "<link rel=canonical href='http://x.com/de/hub'>") for i in range(60)]
     found = judge(spark, [*pages, (40, "http://n40.net/p", "<link rel=canonical href=http://x.com/de/end>")])

@@ -44,15 +44,51 @@ def alias_key(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(F.regexp_replace(url_host(url), r"^www\.", ""), rest))
 
 
+def _unescaped(c: Column) -> Column:
+    """Ampersands and quotes of HTML as signs; &amp; last, so that nothing is decoded twice."""
+    for name, sign in ((r"(?i)&(quot|#34|#x22);", '"'), (r"(?i)&(apos|#0*39|#x0*27);", "'"), (r"(?i)&(#0*47|#x0*2f|sol);", "/"), (r"(?i)&(amp|#0*38|#x0*26);", "&")):
+        c = F.regexp_replace(c, name, sign)
+    return c
+
+
+def _resolved(source: Column, to: Column) -> Column:
+    """The URL that a target names on a page: absolute, from the scheme, the root, the page's folder, or its query alone."""
+    root = F.regexp_extract(source, r"(?s)^(.*?://[^/?#]*)", 1)
+    scheme = F.regexp_extract(source, r"(?s)^(.*?:)//", 1)
+    path = url_path(source)
+    folder = F.regexp_extract(F.when(path == "", "/").otherwise(path), r"(?s)^(.*/)", 1)
+    tail = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    names = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    whole = F.when(names.startswith("/"), names).otherwise(F.concat(folder, names))
+    steps = F.split(F.substring(whole, 2, 1 << 30), "/")
+    last = F.element_at(steps, -1)
+    ends_open = last.isin(".", "..")
+
+    def walk(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_open & (F.size(kept) > 0), "/").otherwise(""))
+    query = F.regexp_extract(source, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+    return (
+        F.when(to.rlike(r"(?s)^[^/?#]*://") | to.contains("://") & to.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.when(scheme == "", "http:").otherwise(scheme), to))
+        .when((root == "") | (to == "") | to.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("#"), F.concat(root, path, query, to))
+        .when(to.startswith("?"), F.concat(root, path, to))
+        .otherwise(F.concat(root, clean, tail))
+    )
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) URLs of canonical links and refreshes; targets that are neither absolute nor from the root are left."""
+    """(source, target) URLs of all canonical links and refreshes, relative ones from the page's URL; other schemes without :// are left."""
     html = F.col(html_col)
     some = pages.select(F.col(url_col).cast("string").alias("source"), html.cast("string").alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
-    canonical = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1)
-    found = some.select("source", F.explode(F.array(canonical, F.regexp_extract("html", _REFRESH, 1))).alias("to"))
-    root = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).when(F.col("to").startswith("/"), F.concat(root, "to"))
-    return found.select("source", target.alias("target")).where("target is not null and source is not null")
+    canonical = F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(tag, _HREF, 1))
+    found = some.select("source", F.explode(F.concat(canonical, F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))).alias("to"))
+    found = found.select("source", _unescaped(F.col("to")).alias("to"))
+    return found.select("source", _resolved(F.col("source"), F.col("to")).alias("target")).where("target is not null and source is not null")
 
 
 def _known(rules: DataFrame) -> DataFrame:
