@@ -2,8 +2,9 @@
 
 Words are hashed in neighbouring pairs (the inner substrings, s = 2 words). A k-mer of k = 6 words is an anchor when
 the least of its 5 inner hashes is the first or the last of them. That depends on the k-mer's own words alone, so an edit
-moves no anchor outside the k words around it. A fingerprint lists the anchors in the order of their positions, after
-single words if the text has fewer than 2 * k.
+moves no anchor outside the k words around it. k - 1 empty words stand before and after every text, so one rule gives anchors to
+texts of all lengths. A fingerprint lists the anchors in the order of their positions; likeness counts the anchors that two
+texts share in the same order.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from weftline.llm.common import prepared, table
 
 #: Words of a k-mer; inner substrings have two.
 K = 6
-#: Bytes of text in a block of neighbouring documents.
+#: Bytes of text in a block of neighbouring documents, and so many blocks at most; beyond, blocks are larger.
 BLOCK_BYTES = 8 << 20
-#: A table of so many block heads may be broadcast (16 bytes each).
-MOST_BROADCAST = 1_000_000
+MOST_BLOCKS = 100_000
+#: So many rows are drawn for a bound between blocks; every so manieth of them is one.
+DRAWN = 4
+#: Bits of an anchor.
+BITS = 40
 
 _SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -36,11 +40,10 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """Hashes (24 bits, as integers) of the closed syncmers of a text's words, by position.
+    """Hashes (40 bits, as longs) of the closed syncmers of a text's words, by position.
 
-    Any 9 words in a row (of k = 6) hold a syncmer, so texts that share such a run share an anchor at every length. Below 2 * k
-    words, where syncmers are few or none, words with small hashes come before them: all words below k, then ever fewer,
-    the same ones in all texts of one length. So no length parts two kinds of lists. An empty text has none.
+    The empty words around the text make its first and its last word the end and the start of a k-mer that is always an anchor. So
+    every text with words has anchors, and those of a few words are made as those of a million. A text without words has none.
     """
     width = k - 1  # inner hashes of a k-mer
 
@@ -54,68 +57,102 @@ def anchors(text: Column, k: int = K) -> Column:
 
     def picked(pairs: Column) -> Column:
         kept = F.filter(F.sequence(F.lit(0), F.size(pairs) - width), lambda i: edge(pairs, i))
-        return F.transform(kept, lambda i: _bits(F.xxhash64(*(F.get(pairs, i + d) for d in range(0, width, 2)))))
+        return F.transform(kept, lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(pairs, i + d) for d in range(0, width, 2))), 64 - BITS))
 
     def of_words(w: Column) -> Column:
-        n = F.size(w)
-        inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
-        syncmers = F.when(n >= k, _once(inner, picked)).otherwise(F.array().cast("array<int>"))
-        hashed = F.transform(w, lambda x: _bits(F.xxhash64(x)))
-        few = F.filter(hashed, lambda h: h.cast("long") * (k + 1) < (2 * k - n).cast("long") * (1 << 24))
-        return _once(syncmers, lambda found: F.when(n < 2 * k, F.concat(few, found)).otherwise(found))
+        inner = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
+        return F.when(F.size(w) > 0, _once(inner, picked)).otherwise(F.array().cast("array<long>"))
 
-    return _once(words(text), of_words)
+    around = F.array_repeat(F.lit(""), k - 1)
+    return _once(_once(words(text), lambda w: F.when(F.size(w) > 0, F.concat(around, w, around)).otherwise(w)), of_words)
 
 
-def _bits(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 40).cast("int")
+def fingerprint(found: Column) -> Column:
+    """Anchors as text: 11 characters each (a 1 and ten hex digits), in order."""
+    return F.array_join(F.transform(found, lambda x: F.hex(x + F.lit(1 << BITS))), "")
 
 
-def fingerprint(found: Column) -> Column:
-    """Anchors as text: 7 characters each, in order."""
-    return F.array_join(F.transform(found, lambda x: F.hex(x + F.lit(1 << 24))), "")
+def shared_in_order(a: Column, b: Column) -> Column:
+    """Distinct anchors that two lists share, less one for each break in their order.
+
+    Both lists are cut to what they share, in their own orders; neighbours in one that are no neighbours in the other are a break. A
+    passage that is moved costs a break or two, a shuffled text nearly all. Time and memory are linear in the lists.
+    """
+
+    def steps(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.xxhash64(F.get(c, i - 1), F.get(c, i)))
+
+    def kept(x: Column) -> Column:
+        return F.when(F.size(x["a"]) > 1, F.size(F.array_intersect(steps(x["a"]), steps(x["b"]))) + 1).otherwise(F.size(x["a"]))
+
+    return _once(F.struct(F.array_intersect(a, b).alias("a"), F.array_intersect(b, a).alias("b")), kept)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice's coefficient of two lists of anchors as sets, 0 to 1; two empty ones are alike."""
+    """Dice's coefficient of two lists of anchors, 0 to 1: twice those shared in order over both lists' distinct ones; two empty ones are alike."""
     both = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * shared_in_order(a, b) / both)
 
 
-def matched_positions(a: Column, b: Column) -> Column:
-    """For each anchor of a its place in b (from 0; -1: none): equal anchors align two texts."""
-    return F.transform(a, lambda x: (F.array_position(b, x) - 1).cast("int"))
+def _bounds(rows: DataFrame) -> list:
+    """(id, hash) of rows that begin a block, ascending: drawn with a chance in proportion to their bytes, whatever the ids are.
+
+    MOST_BLOCKS at most. Rows that are alike in both are drawn one by one, so a bound that many of them share comes up as often as
+    blocks are needed for them.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = max(BLOCK_BYTES, -(-size // MOST_BLOCKS))
+    drawn = rows.where(F.rand(10) * block < DRAWN * F.octet_length("text").cast("double")).select(F.struct("id", "hash").alias("x"))
+    every = F.filter(F.array_sort(F.collect_list("x")), lambda x, i: i % DRAWN == DRAWN - 1)
+    return [(x.id, x.hash) for x in drawn.agg(every.alias("bounds")).first().bounds]
+
+
+def _block(bounds: list) -> Column:
+    """The number of bounds that are not above a row, by bisection; rows that equal a repeated bound are dealt to all of its blocks."""
+    if not bounds:
+        return F.lit(0)
+    ids, hashes = (F.split(F.lit(",".join(str(x[k]) for x in bounds)), ",").cast("array<long>") for k in (0, 1))
+
+    def halved(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        below = (F.get(ids, middle) < F.col("id")) | ((F.get(ids, middle) == F.col("id")) & (F.get(hashes, middle) <= F.col("hash")))
+        return F.struct(
+            F.when((acc["low"] < acc["high"]) & below, middle + 1).otherwise(acc["low"]).alias("low"),
+            F.when((acc["low"] < acc["high"]) & ~below, middle).otherwise(acc["high"]).alias("high"),
+        )
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halved, lambda acc: acc["low"])
+    if len(set(bounds)) == len(bounds):
+        return found
+    times = {x: bounds.count(x) for x in {a for a, b in zip(bounds, bounds[1:], strict=False) if a == b}}
+    copies = F.split(F.lit(",".join(str(times.get(x, 1)) for x in bounds)), ",").cast("array<int>")
+    alike = (F.get(ids, found - 1) == F.col("id")) & (F.get(hashes, found - 1) == F.col("hash"))
+    dealt = F.pmod(F.monotonically_increasing_id(), F.get(copies, found - 1)).cast("int")
+    return F.when(alike, found - dealt).otherwise(found)
 
 
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, block, borrowed): blocks of neighbours by ascending id, each with the next block's first row as well.
+    """(own_id, id, text, hash, block, borrowed): blocks of neighbours by ascending id, each with the next block's first row as well.
 
     A block's borrowed row has borrowed = true and comes last in it; the last block borrows the very first row. So a
-    window over a block sees each row's successor. Block bounds follow the ids' quantiles; texts are shuffled once.
+    window over a block sees each row's successor. Rows of one id are in the order of their texts' hashes. Texts are shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size, low, high = rows.agg(F.sum(F.octet_length("text")), F.min("id"), F.max("id")).first()
-    blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
-    cells = min(blocks, 64)
-    cut = [] if cells < 2 else sorted(set(rows.agg(F.percentile_approx("id", [i / cells for i in range(1, cells)], 10_000)).first()[0] or []))
-    bounds = [low or 0, *(x for x in cut if x > (low or 0)), high or 0]
-    parts = -(-blocks // (len(bounds) - 1))
-    block = F.lit(None).cast("long")
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        within = F.least(F.floor((F.col("id").cast("double") - float(a)) / max(1.0, (b - a) / parts)), F.lit(parts - 1))
-        block = F.when(F.col("id") >= a, F.lit(i * parts) + within.cast("long")).otherwise(block)  # later cells overrule
-    rows = rows.withColumn("block", F.coalesce(block, F.lit(0)))
-    heads = rows.groupBy("block").agg(F.min("id").alias("head"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
+    bounds = _bounds(rows)
+    rows = rows.withColumn("block", _block(bounds))
+    # a row for each block, MOST_BLOCKS at most: they may pass one window and be broadcast
+    heads = rows.groupBy("block").agg(F.min(F.struct("id", "hash")).alias("head"))
     order = Window.orderBy("block")
     before = F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select(F.col("head").alias("id"), before.alias("target"))
-    if blocks <= MOST_BROADCAST:
-        heads = F.broadcast(heads)
-    borrowed = rows.join(heads, "id").select("id", "own_id", "text", F.col("target").alias("block"), F.lit(True).alias("borrowed"))
-    both = rows.select("id", "own_id", "text", "block", F.lit(False).alias("borrowed")).union(borrowed)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 100_000))
-    return both.repartition(tasks, "block").sortWithinPartitions("block", "borrowed", "id", "text")
+    heads = heads.select("block", "head.*", before.alias("target"))
+    first = rows.join(F.broadcast(heads), ["block", "id", "hash"]).groupBy("target").agg(F.min("id").alias("id"), F.min("text").alias("text"), F.min("hash").alias("hash"))
+    borrowed = first.select(F.lit(None).cast(rows.schema["own_id"].dataType).alias("own_id"), "id", "text", "hash", F.col("target").alias("block"), F.lit(True).alias("borrowed"))
+    both = rows.withColumn("borrowed", F.lit(False)).union(borrowed)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds) + 1)
+    return both.repartition(tasks, "block").sortWithinPartitions("block", "borrowed", "id", "hash")
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -123,10 +160,12 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited text has its last floor(n / 2) code points replaced by as many first ones (or all) of the next text by
     ascending id; the last row's next is the first. A null text is empty, a null id comes first, equal ids follow
-    their texts' order. One row of result a row; other columns are not read.
+    the order of their texts' hashes. One row of result a row, so repeated rows stay; an empty table gives an empty one. Other columns are
+    not read. A very long text is a row as any other, and its time is linear. The table must read the same twice (files, or a
+    checkpoint).
     """
     prepared(docs.sparkSession)
-    order = Window.partitionBy("block").orderBy("borrowed", "id", "text")
+    order = Window.partitionBy("block").orderBy("borrowed", "id", "hash")
     rows = with_neighbours(docs, id_col, text_col).withColumn("found", anchors(F.col("text"), k))
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_found", F.lead("found").over(order)).where("not borrowed")
     n = F.char_length("text")
@@ -145,6 +184,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_fingerprints of all documents."""
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
