@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm.secrets import joined, labelled_samples, op7_secrets, pair_ratios, redacted, secret_spans
+from weftline.llm.secrets import ALPHABET, LEAST_MEAN, LEAST_PART, LEAST_TOTAL, PIECE, SIGN_RATIO, found_secrets, joined, labelled_samples, op7_secrets, pair_ratios, redacted, secret_spans
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -39,6 +42,118 @@ def test_base_spans(spark, ratios):
         assert (r.b, [r.assign, r.access, r["hex"]]) == brute(TEXTS[r.doc_id]), TEXTS[r.doc_id][:80]
 
 
+def markov_brute(text, ratios):
+    """Spans of the model, character by character over the text with blanks for its base spans."""
+    chars = list(text or "")
+    for span in filter(None, brute(text)[0].split(",")):
+        _, a, b = span.split(":")
+        chars[int(a) : int(b)] = " " * (int(b) - int(a))
+    code = {c: i + 1 for i, c in enumerate(ALPHABET)}
+    spans = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", "".join(chars)):
+        run, parts = m[0], []
+
+        def close(first, last, peak, run=run, parts=parts):
+            if peak < LEAST_TOTAL:
+                return
+            a, b = first, last
+            while a > 0 and run[a - 1] not in "/_=-":
+                a -= 1
+            while b < len(run) and run[b] not in "/_=-":
+                b += 1
+            if last - first >= LEAST_PART and peak >= LEAST_MEAN * (last - first - 1) or b - a >= LEAST_PART and peak >= LEAST_MEAN * (b - a - 1):
+                if parts and a < parts[-1][1]:
+                    parts[-1][1] = max(parts[-1][1], b)
+                else:
+                    parts.append([a, b])
+
+        total = peak = 0.0
+        first = last = 0
+        for i in range(1, len(run)):
+            total += float(f"{ratios[code[run[i - 1]] * 68 + code[run[i]]]:.5f}")
+            if total <= 0 or total < peak - LEAST_TOTAL:
+                close(first, last, peak)
+                total, peak, first, last = 0.0, 0.0, i, i
+            elif total > peak:
+                peak, last = total, i + 1
+        close(first, last, peak)
+        spans += [(m.start() + a, m.start() + b) for a, b in parts]
+    return spans
+
+
+def compared(spark, ratios, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in secret_spans(df, ratios).select("doc_id", "markov", joined(F.col("base")).alias("b")).collect():
+        assert [(s.start, s.end) for s in r.markov] == markov_brute(texts[r.doc_id], ratios), texts[r.doc_id][:200]
+        assert r.b == brute(texts[r.doc_id])[0]
+
+
+def test_ratios_against_brute_force(spark):
+    docs = spark.createDataFrame([(1, "some ordinary words_and-more words_and-more"), (2, None), (3, "x9")], "doc_id long, text string")
+    samples = labelled_samples(docs)
+    counts = {}
+    for r in samples.collect():
+        for a, b in zip(r["sample"], r["sample"][1:], strict=False):
+            for key in ((r.secret, a, b), (r.secret, a, None)):
+                counts[key] = counts.get(key, 0) + 1
+    found = pair_ratios(samples)
+    for i, a in enumerate(ALPHABET):
+        for j, b in enumerate(ALPHABET):
+            shares = [(counts.get((k, a, b), 0) + 0.5) / (counts.get((k, a, None), 0) + 0.5 * 68) for k in (1, 0)]
+            expected = math.log(shares[0] / shares[1]) if (a + b).isalnum() else SIGN_RATIO
+            assert found[(i + 1) * 68 + j + 1] == pytest.approx(expected), (a, b)
+
+
+def test_markov_spans_against_brute_force(spark, ratios):
+    rng = random.Random(2)
+    keys, path = random_strings(40), "production/authentication_configuration-service"
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + TEXTS + SLUGS + ORDINARY
+    for _ in range(150):
+        pieces = [rng.choice([rng.choice(keys)[: rng.randint(5, 36)], path[: rng.randint(1, 40)], "0123456789abcdef" * 2, "password=hunter22", "é", "word", "+", "12345678901234567890"]) for _ in range(rng.randint(1, 12))]
+        texts.append("".join(x + rng.choice([" ", "/", "-", "_", "=", "", "\n"]) for x in pieces))
+    compared(spark, ratios, texts)
+
+
+def test_long_texts_are_cut_where_no_match_crosses(spark, ratios):
+    rng = random.Random(3)
+    keys = random_strings(50)
+    atoms = ["password = abcdefgh", "token:\"x1y2z3\"", "secret  :   'k'", "0123456789abcdef" * 2, "AKIA" + "Z9" * 9, " ", "  ", " = ", ":", '"', "'", ".", "é😀", "words here and there ", "\n", "api_key" + " " * 30 + "=" + " " * 30 + "qwertyuiop"]
+    texts = ["".join(rng.choice(atoms + keys) + rng.choice(["", " ", " "]) for _ in range(rng.choice([300, 900]))) for _ in range(25)]
+    texts += ["token = abcdefgh " * 900, "token = " * 900, "a" * 30_000, " " * 9000 + "=" + " " * 9000, "".join(keys) * 8, "\n" * 5000, ("x" * 1999 + " token = abcdefgh ") * 3, ("x" * 1985 + " token = abcdefgh ") * 3]
+    pieces = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(PIECE), F.lit(0)).alias("p")).collect()
+    assert all("".join(r.p) == r.t for r in pieces) and max(len(r.p) for r in pieces) > 5
+    compared(spark, ratios, texts)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", found_secrets(F.col("t"), ratios, "[X]").alias("f"))
+    df = df.select("t", "f.clean", F.array_sort(F.concat("f.assign", "f.access", "f.hex", "f.markov")).alias("s"))
+    for r in df.collect():
+        out, at = [], 0
+        for s in r.s:
+            if s.start >= at:
+                out.append(r.t[at : s.start] + "[X]")
+            at = max(at, s.end)
+        assert r.clean == "".join(out) + r.t[at:]
+
+
+def test_many_runs_in_one_text_take_linear_time(spark, ratios):
+    keys = random_strings(500)
+    text = " ".join(keys[i % 500][: 20 + i % 3] for i in range(200_000))
+    began = time.monotonic()
+    r = secret_spans(spark.createDataFrame([(text,)], "text string"), ratios).select(F.size("markov").alias("n"), F.element_at("markov", -1)["end"].alias("end")).first()
+    assert r.n > 190_000 and r.end == len(text) and time.monotonic() - began < 60
+
+
+def test_held_out_recall_and_precision(spark, ratios):
+    """Random strings that no model has seen, by length, in letters and digits; words and slugs of documents that it has not seen."""
+    rng = random.Random(7)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (16, 20, 24, 32, 64):
+        found = marked(spark, ratios, [f"see {''.join(rng.choice(signs) for _ in range(n))} there" for _ in range(200)])
+        assert sum(map(bool, found)) >= 180, n
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").collect() for w in re.findall(r"[a-z]{4,12}", r.text or "")})
+    slugs = ["-".join(rng.choice(words) for _ in range(4)) for _ in range(200)] + ["".join(rng.choice(words).title() for _ in range(4)) for _ in range(200)]
+    assert sum(map(bool, marked(spark, ratios, slugs))) <= 8
+
+
 def random_strings(n):
     out = []
     for i in range(n):

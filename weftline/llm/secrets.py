@@ -3,7 +3,8 @@
 Three patterns give the base spans. Beyond them, long runs of letters, digits and a few signs are scored by two Markov
 models of neighbouring characters, one of random strings and one of ordinary identifiers: a part of a run whose
 log-likelihood ratio reaches the threshold is a secret, with the rest of the words that it touches. Spans are in code points, ends exclusive. No row is shuffled: the models are a
-table of 67 * 67 numbers, counted from labelled samples and put into the plan as a constant.
+table of 67 * 67 numbers, counted from labelled samples and put into the plan as a constant. A long text is searched in pieces that
+no match crosses, so its time grows with its length.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _SIDE = len(ALPHABET) + 1
 #: A part of so many characters is judged by itself, a shorter one with the rest of its words, so many together.
 LEAST_PART = 16
 #: Words of a run lie between these signs; + belongs to them.
-_LAST_WORD, _FIRST_WORD = r"[A-Za-z0-9+]*$", r"^[A-Za-z0-9+]*"
+_WORD = r"^[A-Za-z0-9+]*"
 
 #: Least log-likelihood ratio, in nats: of a part, and of each pair on average.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
@@ -38,42 +39,57 @@ LEAST_TOTAL, LEAST_MEAN = 12.0, 0.6
 SIGN_RATIO = -4.5
 
 _SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
+KINDS = ("assign", "access", "hex", "markov")
+
+#: A piece of a text: 2000 code points and those up to the next cut, the last one what is left. It ends with a character that no pattern has, or
+#: with blanks that neither follow nor precede a sign of an assignment, so no match lies across.
+PIECE = r"""(?s).{2000,}?(?:[^A-Za-z0-9+/_.=:"'\x20-]|[^:="'\x20]\x20+(?![:="'\x20]))|.+"""
 
 
 def _once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _found(text: Column, pattern: str, kind: str, place: int, least_value: int = 0) -> Column:
-    """Spans of a pattern's leftmost matches that do not overlap, or of those whose second group is long enough."""
-    p = F.lit(pattern)
+def _starts(sizes: Column) -> Column:
+    """Sums of the sizes before each; made in groups of 500, then over the groups, so that arrays that grow stay short."""
+
+    def summed(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def laid(groups: Column) -> Column:
+        above = summed(F.transform(groups, lambda g: F.element_at(g, -1)))
+        return _once(above, lambda at: F.flatten(F.transform(groups, lambda g, i: F.transform(F.slice(g, 1, F.size(g) - 1), lambda x: x + F.get(at, i)))))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / 500).cast("int")), lambda i: F.slice(sizes, i * 500 + 1, 500))
+    return F.when(F.size(sizes) > 0, _once(F.transform(cut, summed), laid)).otherwise(F.array().cast("array<int>"))
+
+
+def _span(start: Column, end: Column, kind: str) -> Column:
+    return F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
 
-    def laid(x: Column) -> Column:
-        gaps, hits = x["gaps"], x["hits"]
 
-        def add(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(gaps, i))
-            end = start + F.char_length(F.get(hits, i))
-            one = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), end.alias("end")))
-            if least_value:
-                one = F.when(F.char_length(F.get(x["values"], i)) >= least_value, one).otherwise(F.array().cast(_SPAN))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], one.cast(_SPAN)).alias("spans"))
+def _matches(text: Column, pattern: str) -> Column:
+    """(start, hit) of a pattern's leftmost matches that do not overlap."""
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, add, lambda acc: acc["spans"])
+    def laid(x: Column) -> Column:
+        steps = F.transform(x["hits"], lambda h, i: F.char_length(F.get(x["gaps"], i)) + F.char_length(h))
+        return _once(_starts(steps), lambda at: F.transform(x["hits"], lambda h, i: F.struct((F.get(at, i) + F.char_length(F.get(x["gaps"], i))).alias("start"), h.alias("hit"))))
 
     # split and extract walk the same matches, so gaps and hits lie in turn
-    parts = [F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, p, F.lit(0)).alias("hits")]
-    parts += [F.regexp_extract_all(text, p, F.lit(2)).alias("values")] if least_value else []
-    return _once(F.struct(*parts), laid)
+    return _once(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), laid)
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
     """Arrays of the base spans: assign, access, hex. Texts without the pattern's signs are not searched further."""
+
+    def spans(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda x: _span(x["start"], x["start"] + F.char_length(x["hit"]), kind))
+
     none = F.array().cast(_SPAN)
-    assign = F.when((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), _found(text, ASSIGN, "assign", 0, LEAST_VALUE))
-    access = F.when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), _found(text, ACCESS, "access", 1))
-    hexes = F.when(text.rlike(HEX), _found(text, HEX, "hex", 2))
+    long_enough = F.filter(_matches(text, ASSIGN), lambda x: F.char_length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= LEAST_VALUE)
+    assign = F.when((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN), spans(long_enough, "assign"))
+    access = F.when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), spans(_matches(text, ACCESS), "access"))
+    hexes = F.when(text.rlike(HEX), spans(_matches(text, HEX), "hex"))
     return tuple(F.coalesce(x, none) for x in (assign, access, hexes))
 
 
@@ -144,28 +160,25 @@ def _parts(run: Column, ratios: list[float], least_total: float, least_mean: flo
     none = F.array().cast("array<struct<a:int,b:int>>")
 
     def found(acc: Column) -> Column:
-        a = acc["first"] - F.char_length(F.regexp_extract(F.left(run, acc["first"]), _LAST_WORD, 0))
-        b = acc["last"] + F.char_length(F.regexp_extract(F.substring(run, acc["last"] + 1, F.char_length(run)), _FIRST_WORD, 0))
+        a = acc["first"] - F.char_length(F.regexp_extract(F.reverse(F.left(run, acc["first"])), _WORD, 0))
+        b = acc["last"] + F.char_length(F.regexp_extract(F.substring(run, acc["last"] + 1, F.char_length(run)), _WORD, 0))
         n = acc["last"] - acc["first"]
         one = F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
         fits = _once(one, lambda x: ((n >= LEAST_PART) & (acc["peak"] >= least_mean * (n - 1))) | ((x["b"] - x["a"] >= LEAST_PART) & (acc["peak"] >= least_mean * (x["b"] - x["a"] - 1))))
-        return F.when(acc["peak"] >= least_total, F.when(fits, F.array(one)).otherwise(none)).otherwise(none)
+        return F.when(acc["peak"] < least_total, acc["parts"]).when(fits, F.concat(acc["parts"], F.array(one))).otherwise(acc["parts"])
 
     def walked(c: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            x = F.get(constant, F.get(c, i - 1) * _SIDE + F.get(c, i))
-            closed = (acc["sum"] + x <= 0) | (acc["sum"] + x < acc["peak"] - least_total)
-            top = acc["sum"] + x > acc["peak"]
-            return F.struct(
-                F.when(closed, 0.0).otherwise(acc["sum"] + x).alias("sum"),
-                F.when(closed, 0.0).when(top, acc["sum"] + x).otherwise(acc["peak"]).alias("peak"),
-                F.when(closed, i).otherwise(acc["first"]).cast("int").alias("first"),
-                F.when(closed, i).when(top, i + 1).otherwise(acc["last"]).cast("int").alias("last"),
-                F.when(closed, F.concat(acc["parts"], found(acc))).otherwise(acc["parts"]).alias("parts"),
-            )
-
-        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("first"), F.lit(0).alias("last"), none.alias("parts"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), zero, step, lambda acc: F.concat(acc["parts"], found(acc)))
+        def state(total: Column, peak: Column, first: Column, last: Column, parts: Column, i: Column) -> Column:
+            return F.struct(total.alias("sum"), peak.alias("peak"), first.alias("first"), last.alias("last"), parts.alias("parts"), i.alias("i"))
+
+        def step(acc: Column, x: Column) -> Column:
+            total, i = acc["sum"] + x, acc["i"] + 1
+            closed = (total <= 0) | (total < acc["peak"] - least_total)
+            grown = F.when(total > acc["peak"], state(total, total, acc["first"], i + 1, acc["parts"], i)).otherwise(state(total, acc["peak"], acc["first"], acc["last"], acc["parts"], i))
+            return F.when(closed, state(F.lit(0.0), F.lit(0.0), i, i, found(acc), i)).otherwise(grown)
+
+        pairs = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(constant, F.get(c, i - 1) * _SIDE + F.get(c, i)))
+        return F.aggregate(pairs, state(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), none, F.lit(0)), step, found)
 
     def merged(parts: Column) -> Column:
         def add(acc: Column, x: Column) -> Column:
@@ -178,29 +191,58 @@ def _parts(run: Column, ratios: list[float], least_total: float, least_mean: flo
     return _once(_once(_codes(run), walked), merged)
 
 
+def found_secrets(text: Column, ratios: list[float], mark: str | None = None, least_total: float = LEAST_TOTAL, least_mean: float = LEAST_MEAN) -> Column:
+    """A struct of the spans of each kind: assign, access, hex and markov, and with a mark also clean, the text with the mark for each secret.
+
+    A markov span overlaps no base span: runs are sought beside them. A null text is the empty one.
+    """
+
+    def of_piece(piece: Column) -> Column:
+        def beside(base: Column) -> Column:
+            every = F.array_sort(F.concat(base["assign"], base["access"], base["hex"]))
+            masked = _masked(piece, every)
+
+            def judged(x: Column) -> Column:
+                return F.transform(_parts(x["hit"], ratios, least_total, least_mean), lambda p: _span(x["start"] + p["a"], x["start"] + p["b"], "markov"))
+
+            runs = F.when(masked.rlike(CANDIDATE), F.flatten(F.transform(_matches(masked, CANDIDATE), judged)))
+            kinds = F.struct(base["assign"].alias("assign"), base["access"].alias("access"), base["hex"].alias("hex"), F.coalesce(runs, F.array()).cast(_SPAN).alias("markov"))
+            if mark is None:
+                return kinds
+            clean = lambda k: redacted(piece, F.array_sort(F.concat(*(k[x] for x in KINDS))), mark)
+            return _once(kinds, lambda k: F.struct(*(k[x].alias(x) for x in KINDS), clean(k).alias("clean")))
+
+        return _once(F.struct(*(x.alias(k) for x, k in zip(base_spans(piece), KINDS, strict=False))), beside)
+
+    def whole(x: Column) -> Column:
+        def moved(kind: str) -> Column:
+            at = lambda spans, i: F.transform(spans, lambda s: _span(s["start"] + F.get(x["at"], i), s["end"] + F.get(x["at"], i), kind))
+            return F.flatten(F.transform(x["found"], lambda f, i: F.when(F.size(f[kind]) > 0, at(f[kind], i)).otherwise(f[kind])))
+
+        clean = [] if mark is None else [F.array_join(F.transform(x["found"], lambda f: f["clean"]), "").alias("clean")]
+        return F.struct(*(moved(k).alias(k) for k in KINDS), *clean)
+
+    def of_pieces(pieces: Column) -> Column:
+        at = _starts(F.transform(pieces, F.char_length))
+        return _once(F.struct(at.alias("at"), F.transform(pieces, of_piece).alias("found")), whole)
+
+    return _once(F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PIECE), F.lit(0)), of_pieces)
+
+
 def secret_spans(docs: DataFrame, ratios: list[float], text_col: str = "text", least_total: float = LEAST_TOTAL, least_mean: float = LEAST_MEAN) -> DataFrame:
     """The rows with columns assign, access, hex, markov, base and spans: arrays of (start, place, kind, end) by start, then kind.
 
-    base has the first three kinds, spans all. A markov span overlaps no base span: runs are sought beside them. A null text has none. Columns of
+    base has the first three kinds, spans all; of spans that begin together the kinds' order decides. A null or empty text has none. Repeated rows stay, an empty
+    table gives an empty one. A very long text is searched piece by piece; only one without any cut (see PIECE) is a single piece. Columns of
     these names are replaced.
     """
     prepared(docs.sparkSession)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    assign, access, hexes = base_spans(text)
-    out = docs.withColumns({"assign": assign, "access": access, "hex": hexes})
+    held = "_found"
+    while held in docs.columns:
+        held += "_"
+    out = docs.withColumn(held, found_secrets(F.col(text_col), ratios, None, least_total, least_mean))
+    out = out.withColumns({k: F.col(f"{held}.{k}") for k in KINDS}).drop(held)
     out = out.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-
-    masked = _masked(text, F.col("base"))
-
-    def judged(s: Column) -> Column:
-        run = F.substring(masked, s["start"] + 1, s["end"] - s["start"])
-        return F.transform(
-            _parts(run, ratios, least_total, least_mean),
-            lambda x: F.struct((s["start"] + x["a"]).alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), (s["start"] + x["b"]).alias("end")),
-        )
-
-    runs = F.when(masked.rlike(CANDIDATE), _found(masked, CANDIDATE, "markov", 3))
-    out = out.withColumn("markov", F.coalesce(F.flatten(F.transform(runs, judged)), F.array()).cast(_SPAN))
     return out.withColumn("spans", F.array_sort(F.concat("base", "markov")))
 
 
@@ -223,6 +265,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_spans of all documents, with the ordinary model counted over all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_spans(docs, pair_ratios(labelled_samples(docs)))
     return found.select(
