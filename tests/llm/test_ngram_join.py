@@ -38,7 +38,7 @@ def brute(docs, percent=80):
 
 def run(spark, docs, **kw):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    return sorted((tuple(r) for r in ngram_jaccard_join(df, **kw).collect()), key=repr)
+    return sorted((tuple(r)[:3] for r in ngram_jaccard_join(df, **kw).collect()), key=repr)
 
 
 def near_copies(seed, n):
@@ -85,6 +85,41 @@ def test_large_groups_of_many_components(spark, monkeypatch):
     assert found == brute(docs) and 5 < len({c for *_, c in found}) < 60
 
 
+def test_a_passage_of_all_texts_costs_no_block_pairs(spark, monkeypatch):
+    """Four fifths of each text are one passage; no two link, and no block meets another."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    real, seen = ngram_join._connected, {}
+
+    def spy(rows, key, link):
+        def counted(part):
+            seen.setdefault(key, []).append(part.count())
+            return link(part)
+
+        seen[f"all {key}"] = rows.count()
+        return real(rows, key, counted)
+
+    monkeypatch.setattr(ngram_join, "_connected", spy)
+    passage = " ".join(f"p{i}" for i in range(404))
+    docs = [(i, f"{passage} " + " ".join(f"o{i}x{j}" for j in range(92))) for i in range(150)]
+    assert run(spark, docs) == brute(docs)
+    assert sum(seen["token"]) <= 2 * seen["all token"], seen
+    # with a text that is the passage alone, one block meets all others: linear still
+    seen.clear()
+    docs.append((150, passage))
+    assert run(spark, docs) == brute(docs)
+    assert sum(seen["token"]) <= 4 * seen["all token"], seen
+
+
+def test_texts_of_one_id_and_null_ids_have_components(spark):
+    long = "the same nine words stand in all of these"
+    docs = [(1, long), (1, "another text of the same id is not alike at all"), (None, long), (None, long), (2, long.upper()), (3, None), (3, "")]
+    found = ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
+    parts = {}
+    for r in found.collect():
+        parts.setdefault(r.component and bytes(r.component), []).append((r.doc_id, r.component_id))
+    assert sorted(map(sorted, (map(str, v) for v in parts.values()))) == [["(1, 1)"], ["(1, 1)", "(2, 1)", "(None, None)", "(None, None)"], ["(3, 3)", "(3, 3)"]]
+
+
 def test_chains_over_blocks(spark, monkeypatch):
     """Each text links with the next ones only, so no set stands for its component."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
@@ -117,7 +152,7 @@ def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n_shingles int")
     assert ngram_jaccard_join(df).collect() == []
     clash = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id int, text string, fp string, component_id string")
-    assert [tuple(r) for r in ngram_jaccard_join(clash).collect()] == [(1, 1, 1)]
+    assert [tuple(r)[:3] for r in ngram_jaccard_join(clash).collect()] == [(1, 1, 1)]
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])

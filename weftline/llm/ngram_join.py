@@ -2,19 +2,23 @@
 
 1. One pass over the texts hashes every document's n-gram set and sends each n-gram to its hash range. A batch
    sends an n-gram twice at most: the rest of a frequent one is known to be shared there and then, and is dealt
-   out evenly, so no hot n-gram gathers in a task. The ranges say which n-grams occur in two sets or more.
+   out evenly, so no hot n-gram gathers in a task. The ranges say which n-grams occur in two sets or more, and how often.
 2. A set can only link when ceil(t * size) of its n-grams are shared, so most sets end here (nothing is lost:
    the others have too many n-grams of their own for any link).
-3. The rest meet at the n-grams of their prefix (n-grams of one set alone come first, then hash order). Sets that
+3. The rest meet at the n-grams of their prefix, in one order of all n-grams: rarest first, those of one set alone at the
+   very front, of equally rare ones by hash. So a passage that many texts share comes last and is in few prefixes. Of two sets that link the
+   smaller one has a common n-gram in a shorter prefix yet, which looks for overlaps of 2t / (1 + t) of it: a set beyond
+   that prefix only looks for smaller ones within theirs, and where all are beyond it nothing is compared. Sets that
    meet are compared by size and by folded parity bitmaps, whose distance never exceeds the sets' difference.
    Only a spanning forest of what may link leaves a meeting place, so no group is expanded into its pairs.
 4. Each candidate component is stored in a radix trie, frequent n-grams first. Every set walks it once: sets below a
    node share the overlap so far, and a subtree is left as soon as its remaining lengths cannot reach the bound.
-   Overlaps are exact. A set that is linked leaves the trie, so a family of copies is walked about once.
+   Overlaps are counted over all n-grams, told apart by 56 bits of their hashes. A set that is linked leaves the trie, so a family of copies is walked about once.
 5. Connected components over the links found.
 
 Groups too large for a task (of a meeting place or a component) are cut into blocks. Blocks are connected inside, then
-one set of each component meets those of other blocks; only sets that are still apart are compared block by block.
+one set of each component meets those of other blocks; only sets that are still apart are compared block by block, and
+blocks of sets beyond the shorter prefix only with blocks within it.
 """
 
 from __future__ import annotations
@@ -58,8 +62,13 @@ def _bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little")
 
 
+def _index_need(size: int, percent: int) -> int:
+    """The least overlap for a link with a set that is not smaller."""
+    return -(-2 * percent * size // (100 + percent))
+
+
 def _exchange_schema() -> str:
-    return "r int, bid long, tokens binary, owners binary, known binary, known_owners binary, meta binary"
+    return "r int, bid long, tokens binary, owners binary, known binary, known_owners binary, often binary, times binary, meta binary"
 
 
 def _by_owner(tokens: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
@@ -76,30 +85,34 @@ def _owners(steps: bytes, tokens: int) -> np.ndarray:
 
 
 def _send(n: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (doc_id, text) to a row for each hash range; the first also tells of the batch's documents."""
+    """Batches of (doc_id, text_hash, text) to a row for each hash range; the first also tells of the batch's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for no, batch in enumerate(b for b in batches if b.num_rows):
             place: dict[bytes, int] = {}
             kept, of_doc, sizes = [], [], []
-            for grams in shingle_sets(batch.column(1), n):
+            for grams in shingle_sets(batch.column(2), n):
                 key = xxhash.xxh3_128_digest(grams.tobytes())
                 if len(grams) and key not in place:
                     place[key] = len(kept)
                     kept.append(grams)
                 of_doc.append(place[key] if len(grams) else -1)
                 sizes.append(len(grams))
-            meta = pickle.dumps((batch.column(0).to_pylist(), of_doc, sizes, list(place)))
+            meta = pickle.dumps((batch.column(0).to_pylist(), batch.column(1).to_pylist(), of_doc, sizes, list(place)))
             tokens = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
             order = np.argsort(tokens, kind="stable")
             ordered = tokens[order]
             first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-            nth = np.arange(len(ordered)) - np.repeat(first, np.diff(np.r_[first, len(ordered)]))
+            times = np.diff(np.r_[first, len(ordered)])
+            nth = np.arange(len(ordered)) - np.repeat(first, times)
             known = np.zeros(len(ordered), bool)
             known[order] = nth >= 2
-            target = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            home_of = lambda x: ((x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            often, more = ordered[first[times > 2]], (times[times > 2] - 2).astype(np.uint32)  # what the ranges don't see
+            often_bounds = np.searchsorted(home_of(often), np.arange(ranges + 1))
+            target = home_of(tokens)
             target[known] = (owner[known] + no + part) % ranges
             by_target = np.argsort(target, kind="stable")
             bounds = np.searchsorted(target[by_target], np.arange(ranges + 1))
@@ -108,13 +121,15 @@ def _send(n: int, ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for r in sorted({home, *np.flatnonzero(np.diff(bounds)).tolist()}):
                 own = by_target[bounds[r] : bounds[r + 1]]
                 new, old = own[~known[own]], own[known[own]]
-                out.append((r, part << 32 | no, *_by_owner(tokens[new], owner[new]), *_by_owner(tokens[old], owner[old]), meta if r == home else None))
-            yield _batch(out, "r:i,bid:l,tokens:b,owners:b,known:b,known_owners:b,meta:b")
+                counted = slice(often_bounds[r], often_bounds[r + 1])
+                row = (*_by_owner(tokens[new], owner[new]), *_by_owner(tokens[old], owner[old]), _packed(often[counted]), more[counted].tobytes())
+                out.append((r, part << 32 | no, *row, meta if r == home else None))
+            yield _batch(out, "r:i,bid:l,tokens:b,owners:b,known:b,known_owners:b,often:b,times:b,meta:b")
 
     return run
 
 
-_ARROW = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "f": pa.float64()}
+_ARROW = {"i": pa.int32(), "l": pa.int64(), "b": pa.binary(), "o": pa.bool_()}
 
 
 def _arrow_schema(spec: str) -> pa.Schema:
@@ -142,47 +157,58 @@ def _u64(packed: bytes) -> np.ndarray:
 
 
 def _shared_in_range(rows: pa.Table) -> pa.Table:
-    """Of one hash range's n-grams those that two sets or more have, to the batches that sent them."""
+    """Of one hash range's n-grams those that two sets or more have, to the batches that sent them, with how common they are.
+
+    That is a byte on a logarithmic scale; 0 where the batch can tell it from the same n-gram of another of its sets.
+    """
     sent = [_u64(x) for x in rows["tokens"].to_pylist()]
     every = np.concatenate(sent)
     order = np.argsort(every)
-    same = np.diff(every[order]) == 0
-    shared = np.zeros(len(every), bool)
-    shared[order[1:][same]] = shared[order[:-1][same]] = True
-    del order, same, every
+    first = np.flatnonzero(np.r_[True, np.diff(every[order]) != 0]) if len(every) else np.zeros(0, np.int64)
+    times, values = np.diff(np.r_[first, len(every)]), every[order[first]]
+    often = np.concatenate([_u64(x) for x in rows["often"].to_pylist()])
+    np.add.at(times, np.searchsorted(values, often), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["times"].to_pylist()]))
+    common = np.zeros(len(every), np.uint8)
+    common[order] = np.repeat(np.where(times > 1, np.minimum(8 * np.log2(times), 255), 0).astype(np.uint8), np.diff(np.r_[first, len(every)]))
+    del order, every, values
     out, at = [], 0
     for row, tokens in zip(rows.select(["bid", "owners", "known", "known_owners", "meta"]).to_pylist(), sent, strict=True):
-        mask, known = shared[at : at + len(tokens)], _u64(row["known"])
+        rank, known = common[at : at + len(tokens)], _u64(row["known"])
         at += len(tokens)
-        owner = np.r_[_owners(row["owners"], len(tokens))[mask], _owners(row["known_owners"], len(known))]
-        found = np.r_[tokens[mask], known]
+        owner = np.r_[_owners(row["owners"], len(tokens))[rank > 0], _owners(row["known_owners"], len(known))]
+        found, ranks = np.r_[tokens[rank > 0], known], np.r_[rank[rank > 0], np.zeros(len(known), np.uint8)]
         place = np.argsort(owner, kind="stable")
         if len(found) or row["meta"] is not None:
-            out.append((row["bid"], *_by_owner(found[place], owner[place]), row["meta"]))
-    return _table(out, "bid:l,tokens:b,owners:b,meta:b")
+            out.append((row["bid"], *_by_owner(found[place], owner[place]), ranks[place].tobytes(), row["meta"]))
+    return _table(out, "bid:l,tokens:b,owners:b,ranks:b,meta:b")
 
 
 def _survivors_of_batch(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """A row for each document of the batch; the first of a set that may link carries its shared n-grams."""
+    """A row for each document of the batch; the first of a set that may link carries its shared n-grams, rarest first."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.to_pylist()
-        docs, of_doc, sizes, prints = pickle.loads(next(r["meta"] for r in rows if r["meta"] is not None))
+        docs, hashes, of_doc, sizes, prints = pickle.loads(next(r["meta"] for r in rows if r["meta"] is not None))
         sent = [_u64(r["tokens"]) for r in rows]
         tokens = np.concatenate(sent)
         owner = np.concatenate([_owners(r["owners"], len(t)) for r, t in zip(rows, sent, strict=True)])
-        order = np.lexsort((tokens, owner))
+        rank = np.concatenate([np.frombuffer(r["ranks"], np.uint8) for r in rows])
+        told, asked = np.flatnonzero(rank), np.flatnonzero(rank == 0)
+        if len(asked):
+            told = told[np.argsort(tokens[told])]
+            rank[asked] = rank[told[np.searchsorted(tokens[told], tokens[asked])]]
+        order = np.lexsort((tokens, rank, owner))
         tokens, bounds = tokens[order], np.searchsorted(owner[order], np.arange(len(prints) + 1))
         out, seen = [], set()
-        for doc, k, size in zip(docs, of_doc, sizes, strict=True):
+        for doc, text_hash, k, size in zip(docs, hashes, of_doc, sizes, strict=True):
             found = None
             if k >= 0 and k not in seen:
                 seen.add(k)
                 own = tokens[bounds[k] : bounds[k + 1]]
                 if len(own) >= _need(size, percent):
                     found = _packed(own)
-            out.append((doc, size, prints[k] if k >= 0 else None, found))
-        return _table(out, "doc_id:l,n_shingles:l,fp:b,tokens:b")
+            out.append((doc, text_hash, size, prints[k] if k >= 0 else None, found))
+        return _table(out, "doc_id:l,text_hash:l,n_shingles:l,fp:b,tokens:b")
 
     return run
 
@@ -196,9 +222,10 @@ def _prefixes(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for row in batch.to_pylist():
                 tokens, size = _u64(row["tokens"]), row["n_shingles"]
                 bits = _bitmap(tokens, size).tobytes()
-                for t in tokens[: len(tokens) - _need(size, percent) + 1].view(np.int64).tolist():
-                    out.append((t, row["fp"], size, len(tokens), bits))
-            yield _batch(out, "token:l,fp:b,n:l,shared:l,bits:b")
+                within = len(tokens) - _index_need(size, percent) + 1
+                for i, t in enumerate(tokens[: len(tokens) - _need(size, percent) + 1].view(np.int64).tolist()):
+                    out.append((t, row["fp"], size, len(tokens), bits, i < within))
+            yield _batch(out, "token:l,fp:b,n:l,shared:l,bits:b,within:o")
 
     return run
 
@@ -227,8 +254,8 @@ def _spanning(labels: list[bytes], near: Callable[[int], list[int]], leave: Call
     return edges
 
 
-def _may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], percent: int) -> tuple[Callable[[int], list[int]], Callable[[int], None]]:
-    """What _spanning asks of a meeting place; own: n-grams that no other set has."""
+def _may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], within: np.ndarray, percent: int) -> tuple[Callable[[int], list[int]], Callable[[int], None]]:
+    """What _spanning asks of a meeting place; own: n-grams that no other set has, within: it is in the shorter prefix of the set."""
     width = np.array([len(b) for b in bits])
     levels = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
     maps = {w: np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in levels.items()}
@@ -238,8 +265,10 @@ def _may_link(n: np.ndarray, own: np.ndarray, bits: list[bytes], percent: int) -
         w, found = len(bits[x]), []
         for v in (w // 2, w, w * 2):
             at = levels.get(v)
-            pick = open_[at] if at is not None else None
-            if pick is None or not pick.any():
+            if at is None:
+                continue
+            pick = open_[at] & (within[at] & (n[at] <= n[x]) | within[x] & (n[x] <= n[at]))
+            if not pick.any():
                 continue
             to, other = at[pick], maps[v][pick]
             mine = np.frombuffer(bits[x], np.uint64)[None, :]
@@ -270,12 +299,12 @@ def _meet(percent: int) -> Callable[[pa.Table], pa.Table]:
         keys = keys[:, order]
         first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
         fp, bits, labels = (rows[k].to_pylist() for k in ("fp", "bits", "label"))
-        n, shared = rows["n"].to_numpy(), rows["shared"].to_numpy()
+        n, shared, within = (rows[k].to_numpy() for k in ("n", "shared", "within"))
         found = set()
         for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
-            if b - a > 1:
-                own = order[a:b]
-                near, leave = _may_link(n[own], (n - shared)[own], [bits[i] for i in own], percent)
+            own = order[a:b]
+            if b - a > 1 and within[own].any():
+                near, leave = _may_link(n[own], (n - shared)[own], [bits[i] for i in own], within[own], percent)
                 for x, y in _spanning([labels[i] for i in own], near, leave):
                     found.add((fp[own[x]], fp[own[y]]))
         return _table(sorted(found), "u:b,v:b")
@@ -385,71 +414,81 @@ def _few(df: DataFrame) -> DataFrame:
 def _connected(rows: DataFrame, key: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (u, v) between fps that connect whatever links in a group of equal keys.
 
-    link finds such edges among rows of one (key, lo, hi), of 4 * BLOCK rows at most. Most groups are one such block.
+    link finds such edges among rows of one (key, lo, hi), of 4 * BLOCK rows at most. Most groups are one such block. Two rows of which
+    none is within need not meet, nor do the rows of a group without any.
     """
-    large = rows.groupBy(key).count().where(F.col("count") > BLOCK).select(key, F.ceil(F.col("count") / BLOCK).alias("blocks")).checkpoint()
-    rows = rows.withColumn("label", F.col("fp"))
+    large = rows.groupBy(key).agg(F.count("*").alias("n"), F.max("within").alias("some")).where(F.col("n") > BLOCK)
+    large = large.select(key, "some", F.ceil(F.col("n") / BLOCK).alias("blocks")).checkpoint()
     if large.isEmpty():
-        return link(rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)}))
+        return link(rows.withColumns({"label": F.col("fp"), "lo": F.lit(0), "hi": F.lit(0)}))
     hashed = F.xxhash64("fp")
-    cut = rows.join(_few(large), key, "left").withColumn("lo", F.coalesce(F.pmod(hashed, "blocks"), F.lit(0)).cast("int"))
+    cut = rows.join(_few(large), key, "left").where(F.coalesce("some", F.lit(True))).withColumn("lo", F.coalesce(F.pmod(hashed, "blocks"), F.lit(0)).cast("int"))
 
     def stars(edges: DataFrame) -> DataFrame:
         """An edge from each set to its component's least one."""
         return components(edges).select(F.col("node").alias("u"), F.col("component").alias("v")).checkpoint()
 
-    found = stars(link(cut.drop("blocks").withColumn("hi", F.col("lo"))))
-    big = rows.join(_few(large), key, "left_semi").drop("label")
+    found = stars(link(cut.drop("blocks", "some").withColumns({"label": F.col("fp"), "hi": F.col("lo")})))
+    big = rows.join(_few(large.where("some")), key, "left_semi")
 
     def labelled() -> DataFrame:
         return big.join(_few(found).withColumnRenamed("u", "fp"), "fp", "left").withColumn("label", F.coalesce("v", "fp")).drop("v")
 
-    # one set of each component of a group
-    others = [c for c in big.columns if c not in (key, "fp")]
-    one = labelled().groupBy(key, "label").agg(F.min(F.struct("fp", *others)).alias("one")).select(key, "label", "one.*").checkpoint()
+    # one set of each component of a group, one that is within if there is any
+    others = [c for c in big.columns if c not in (key, "fp", "within")]
+    one = labelled().groupBy(key, "label").agg(F.min(F.struct((~F.col("within")).alias("beyond"), "fp", "within", *others)).alias("one"))
+    one = one.select(key, "label", "one.*").drop("beyond").checkpoint()
     many = one.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / BLOCK).alias("blocks")).checkpoint()
     one = one.join(_few(many), key).withColumn("lo", F.pmod(hashed, "blocks").cast("int"))
     found = stars(found.union(link(one.drop("blocks").withColumn("hi", F.col("lo")))))
 
-    # what is still apart: large components have blocks of their own, small ones of a group share some
+    # what is still apart: large components have blocks of their own, small ones of a group share some; those within come first
     rest = labelled()
-    sizes = rest.groupBy(key, "label").count().checkpoint()
-    apart = sizes.groupBy(key).count().where("count > 1").select(key).checkpoint()
+    sizes = rest.groupBy(key, "within", "label").count().checkpoint()
+    apart = sizes.groupBy(key).agg((F.min("label") != F.max("label")).alias("some")).where("some").select(key).checkpoint()
     if apart.isEmpty():
         return found
     sizes = sizes.join(_few(apart), key, "left_semi")
-    spans = sizes.where(F.col("count") >= BLOCK).union(sizes.where(F.col("count") < BLOCK).groupBy(key).agg(F.lit(None).cast("binary").alias("label"), F.sum("count").alias("count")))
+    spans = sizes.where(F.col("count") >= BLOCK).union(sizes.where(F.col("count") < BLOCK).groupBy(key, "within").agg(F.lit(None).cast("binary").alias("label"), F.sum("count").alias("count")))
     spans = spans.withColumn("width", F.ceil(F.col("count") / BLOCK))
     own = Window.partitionBy(key)
-    spans = spans.withColumn("end", F.sum("width").over(own.orderBy("label"))).withColumn("blocks", F.sum("width").over(own)).drop("count").checkpoint()
+    sums = {
+        "end": F.sum("width").over(own.orderBy(F.col("within").desc(), "label")),
+        "blocks": F.sum("width").over(own),
+        "open": F.coalesce(F.sum(F.when(F.col("within"), F.col("width"))).over(own), F.lit(0)),
+    }
+    spans = spans.withColumns(sums).withColumn("to", F.when(F.col("within"), F.col("blocks")).otherwise(F.col("open"))).drop("count", "blocks", "open").checkpoint()
     wide = spans.where("label is not null")
-    pool = spans.where("label is null").select(key, F.col("end").alias("pool_end"), F.col("width").alias("pool_width"), F.col("blocks").alias("pool_blocks"))
-    rest = rest.join(_few(apart), key, "left_semi").join(_few(wide), [key, "label"], "left").join(_few(pool), key, "left")
+    pool = spans.where("label is null").select(key, "within", *(F.col(c).alias(f"pool_{c}") for c in ("end", "width", "to")))
+    rest = rest.join(_few(apart), key, "left_semi").join(_few(wide), [key, "within", "label"], "left").join(_few(pool), [key, "within"], "left")
     lone = F.col("width").isNull()
     at = F.when(lone, F.col("pool_end") - F.col("pool_width") + F.pmod(F.xxhash64("label"), "pool_width")).otherwise(F.col("end") - F.col("width") + F.pmod(hashed, "width"))
-    every = F.sequence(F.lit(0), F.coalesce("blocks", "pool_blocks").cast("int") - 1)
+    every = F.sequence(F.lit(0), F.coalesce("to", "pool_to").cast("int") - 1)
     with_ = F.explode(F.filter(every, lambda x: lone | (x < F.col("end") - F.col("width")) | (x >= F.col("end"))))
-    rest = rest.withColumn("at", at.cast("int")).withColumn("with", with_).withColumns({"lo": F.least("at", "with"), "hi": F.greatest("at", "with")})
-    return found.union(link(rest.drop("width", "end", "blocks", "pool_end", "pool_width", "pool_blocks", "at", "with")))
+    rest = rest.where(F.coalesce("to", "pool_to") > 0).withColumn("at", at.cast("int")).withColumn("with", with_).withColumns({"lo": F.least("at", "with"), "hi": F.greatest("at", "with")})
+    return found.union(link(rest.drop("width", "end", "to", "pool_end", "pool_width", "pool_to", "at", "with")))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: its set's size and the smallest id that links lead to.
+    """(id, n_shingles, component_id, text_hash, component) of every row: its set's size and the smallest id that links lead to.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of n-word shingles (A-Z lower-cased;
     fewer words: the whole sequence as one). A null or wordless text has the empty set and links with nothing.
     Ids must be integers, and not null: rows with a null id are kept as components of their own with a null
-    component_id. Repeated rows give repeated results. An empty table gives an empty one. Other columns are not read.
+    component_id. text_hash is Spark's xxhash64 of the text and component a key of the component, whatever its ids are; it is null for
+    the empty set. Repeated rows give repeated results. An empty table gives an empty one. Other columns are not read. A very long text is
+    one set as any other. The table must read the same twice (files, or a checkpoint), as a batch is known by its place.
     """
     spark = prepared(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     ranges = max(4, -(-text_bytes(docs) // RANGE_BYTES))
     sent = docs.mapInArrow(_send(n, ranges), _exchange_schema())
-    back = sent.groupBy("r").applyInArrow(_shared_in_range, "bid long, tokens binary, owners binary, meta binary")
-    sets = back.groupBy("bid").applyInArrow(_survivors_of_batch(percent), "doc_id long, n_shingles long, fp binary, tokens binary").checkpoint()
+    back = sent.groupBy("r").applyInArrow(_shared_in_range, "bid long, tokens binary, owners binary, ranks binary, meta binary")
+    sets = back.groupBy("bid").applyInArrow(_survivors_of_batch(percent), "doc_id long, text_hash long, n_shingles long, fp binary, tokens binary").checkpoint()
 
     own = sets.where("tokens is not null").select("fp", "n_shingles", "tokens").dropDuplicates(["fp"]).checkpoint()
-    prefixes = own.mapInArrow(_prefixes(percent), "token long, fp binary, n long, shared long, bits binary")
+    prefixes = own.mapInArrow(_prefixes(percent), "token long, fp binary, n long, shared long, bits binary, within boolean")
     buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
 
     def meet(rows: DataFrame) -> DataFrame:
@@ -458,22 +497,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     candidates = components(_connected(prefixes, "token", meet)).checkpoint()
 
-    inside = own.join(_few(candidates).withColumnRenamed("node", "fp"), "fp")
+    inside = own.join(_few(candidates).withColumnRenamed("node", "fp"), "fp").withColumn("within", F.lit(True))
     walked = lambda rows: rows.groupBy("group", "lo", "hi").applyInArrow(_links(percent), "u binary, v binary")
     linked = components(_connected(inside.withColumnRenamed("component", "group"), "group", walked)).withColumnRenamed("node", "fp")
 
     least = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    return (
-        sets.drop("tokens")
-        .join(named, "fp", "left")
-        .select(F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    )
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
+    least_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return sets.drop("tokens").join(named, "fp", "left").select(F.col("doc_id").alias(id_col), "n_shingles", least_id.alias("component_id"), "text_hash", "component")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    """ngram_jaccard_join of all documents: five words, a similarity of 0.8."""
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join}
