@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
 of documents. Null texts are empty ones: the classifier scores them by its bias, they are no near duplicates of anything,
-hold no secrets and encode to the begin and end ids. An empty table stays empty.
+hold no secrets and encode to the begin and end ids. An empty table stays empty; more columns than those of documents are handed on
+by all stages but the last, whatever their names are. Very long texts are rows as others.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from weftline.llm.mixing import mixed
 from weftline.llm.ngram_join import ngram_jaccard_join
 from weftline.llm.piece_codec import encode_documents
 from weftline.llm.quality_classifier import fit_on_labels, quality_score
-from weftline.llm.secrets import labelled_samples, pair_ratios, redacted, secret_spans
+from weftline.llm.secrets import KINDS, found_secrets, labelled_samples, pair_ratios
 
 #: So many ids of dropped documents may be broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -29,26 +30,47 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality_score(spark, model, F.col("text")) >= 0.5)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """The table, which is checkpointed, marked for a broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each component of near duplicates; of rows with one id one stays."""
-    joined = ngram_jaccard_join(docs)
-    losers = joined.where("component_id != doc_id").select("doc_id").distinct().checkpoint()
-    few = F.broadcast if losers.count() <= MOST_BROADCAST else (lambda x: x)
-    kept = docs.join(few(losers), "doc_id", "left_anti")
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id").checkpoint()
-    n = repeated.count()
-    if not n:
-        return kept
-    few = F.broadcast if n <= MOST_BROADCAST else (lambda x: x)
-    return kept.join(few(repeated), "doc_id", "left_anti").union(kept.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One document of each component of near duplicates: that of the least id, of equal ids that of the least text hash; null ids come last.
+
+    A decision holds for an id and a text together, so of two texts with one id only the near copy goes. Rows that are alike in both are
+    one document: the one whose columns have the least hash stays. Documents without words all stay.
+    """
+    key = ["no_id", "id", "text_hash"]
+    named = ngram_jaccard_join(docs).where("component is not null")
+    named = named.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "component").checkpoint()
+    best = named.groupBy("component").agg(F.min(F.struct(*key)).alias("best"))
+    keys = named.groupBy(*key, "component").count().join(best, "component").select(*key, "count", (F.struct(*key) == F.col("best")).alias("stays"))
+    keys = keys.where("not stays or count > 1").checkpoint()
+    lost, repeated = keys.where("not stays").drop("stays", "count"), keys.where("stays").drop("stays", "count")
+
+    text = F.col("text").cast("string")
+    held = {"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(text)}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(x.alias(k) for k, x in held.items()))
+    rows = rows.join(_few(lost), key, "left_anti")
+    if repeated.isEmpty():
+        return rows.select("row.*")
+    plain = [f"row.{c}" for c, kind in docs.dtypes if "map<" not in kind]
+    few = _few(repeated)
+    one = rows.join(few, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return rows.join(few, key, "left_anti").select("row.*").union(one.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by a mark."""
-    found = secret_spans(docs, pair_ratios(labelled_samples(docs)))
-    text = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    found = found.withColumn("clean", text)
-    new = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.char_length("clean").cast("long")).otherwise(F.col("n_chars"))}
+    held = "_found"
+    while held in docs.columns:
+        held += "_"
+    found = docs.withColumn(held, found_secrets(F.col("text"), pair_ratios(labelled_samples(docs)), "[SECRET]"))
+    some = F.lit(False)
+    for kind in KINDS:
+        some = some | (F.size(f"{held}.{kind}") > 0)
+    new = {"text": F.when(some, F.col(f"{held}.clean")).otherwise(F.col("text")), "n_chars": F.when(some, F.char_length(f"{held}.clean").cast("long")).otherwise(F.col("n_chars"))}
     return found.select([new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -76,6 +98,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that all stages keep."""
     prepared(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
