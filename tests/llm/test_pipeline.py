@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from test_ngram_join import brute as linked
 from test_secrets import brute as base_spans
 
@@ -91,6 +92,36 @@ def test_run_gives_the_last_stages_rows(spark, stages):
     assert sorted(map(tuple, pipeline.run(spark, SF).collect())) == sorted(map(tuple, stages[-1][2].collect()))
 
 
+def test_clashing_columns_are_handed_on(spark):
+    """Names that stages might use for themselves come out as they went in."""
+    from weftline.llm.common import prepared
+
+    prepared(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = ["base", "spans", "clean", "assign", "access", "hex", "markov", "_found", "component", "component_id", "text_hash", "no_id", "id", "row", "best", "count", "n_shingles", "key", "score", "leaf", "tokens", "rank", "label", "fp"]
+    docs = docs.selectExpr("*", *(f"concat('{c}', doc_id) as {c}" for c in clash)).checkpoint()
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).checkpoint()
+        assert out.dtypes == docs.dtypes, name
+        assert out.count() and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in clash), name
+        docs = out
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_decisions_hold_for_an_id_and_its_text(spark):
+    from weftline.llm.common import prepared
+
+    prepared(spark)
+    copy = "these are some words that stand in more than one of the documents"
+    other, third = "a clean text of the same id that is like no other one here", "one more text of that id which says other things than both"
+    rows = [(1, copy, "en"), (7, copy, "en"), (7, other, "en"), (7, third, "en"), (None, copy.upper(), "en"), (None, other, "de"), (None, other, "en"), (9, third, "en"), (9, third, "fr"), (None, "all alone and without an id but with words", "en"), (None, "all alone and without an id but with words", "en"), (4, None, "en"), (4, "", "en")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").withColumn("extra", F.create_map(F.lit(1), F.lit(2))).repartition(3).checkpoint()
+        out = pipeline.drop_near_duplicates(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, copy), (7, other), (7, third), (None, "all alone and without an id but with words"), (4, None), (4, "")], key=repr)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     from weftline.llm.common import prepared
 
