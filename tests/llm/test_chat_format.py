@@ -105,3 +105,10 @@ def test_query(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest() and r.n_turns == len(turns)
         assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
         assert r.formatted_chars == sum(len(p) for t in turns for p, _ in turn_parts(*t))
+
+
+def test_rows_without_an_id_are_conversations_of_one_turn(spark):
+    rows = [(None, d, "assistant", f"text {d % 30}") for d in range(90)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    _, found = read(spark, rows)
+    assert sorted(([(t.role, t.text) for t in r.turns] for r in found if r.conv_id is None), key=repr) == sorted([[("assistant", f"text {d % 30}")] for d in range(90)], key=repr)
+    assert [[(t.role, t.text) for t in r.turns] for r in found if r.conv_id == 1] == [[("user", "a"), ("assistant", "b")]]

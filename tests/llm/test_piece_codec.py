@@ -151,3 +151,10 @@ def test_empty_table_and_clashing_column(spark):
     assert encode_documents(df).collect() == []
     packed = spark.createDataFrame([(bytes([1, 0, 0, 0, 255, 255, 255, 255]),), (None,), (b"",)], "b binary")
     assert [r[0] for r in packed.select(unpacked(packed["b"])).collect()] == [[1, 2**32 - 1], None, []]
+
+
+def test_pieces_that_are_not_the_text_have_no_spans_and_raise_nothing():
+    codec = Codec(open(default_model(), "rb").read())
+    ids = np.array(codec.encode(["other words"], True, True)[0])
+    assert codec.spans(b"some text", ids) is None and codec.spans(b"", ids) is None
+    assert codec.spans(b"x \xe2\x98\x83\xf0\x9f\xa5\xb7 y", np.r_[ids, codec.unknown]) is None

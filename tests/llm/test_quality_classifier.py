@@ -1,9 +1,11 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftline.llm.quality_classifier import Settings, fit_on_labels, fit_quality, held_out, op9_quality_classifier, quality_score
+from weftline.llm.quality_classifier import Settings, _fewest, _follow, fit_on_labels, fit_quality, held_out, op9_quality_classifier, quality_score
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,6 +56,41 @@ def test_nulls_repeats_bounds_and_empty(spark):
     assert docs.limit(0).select(quality_score(spark, model, F.col("text"))).collect() == []
 
 
+def test_updates_against_brute_force(spark):
+    """One pass of FTRL-proximal over dense vectors, with the formulas of the published algorithm."""
+    s = Settings(bits=6)
+    rng = np.random.default_rng(1)
+    rows = [(int(y), {int(k): float(v) for k, v in zip(rng.choice(64, 5, replace=False), rng.random(5), strict=True)}) for y in rng.integers(0, 2, 80)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 80), pa.array([y for y, _ in rows]), pa.array([np.array(list(x), np.uint32).tobytes() for _, x in rows]), pa.array([np.array(list(x.values()), np.float32).tobytes() for _, x in rows])],
+        names=["key", "label", "buckets", "values"],
+    )
+    found = np.frombuffer(next(_follow(s)(iter([batch]))).column(0)[0].as_py(), np.float32)
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for y, x in rows:
+        x = {k: float(np.float32(v)) for k, v in x.items()} | {64: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+            n[i] += g * g
+    assert np.allclose(found, [weight(i) for i in range(65)], atol=1e-6) and np.count_nonzero(found) > 20
+
+
+def test_an_id_that_is_repeated_does_not_pass_the_bound(spark, monkeypatch):
+    docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("w"), (F.col("id") % 40).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    s = Settings(max_rows=7, l1=0.0)
+    assert 1 <= np.count_nonzero(fit_quality(docs, labels, settings=s).weights) <= 2 * 7  # two features a text
+    rows = docs.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_label"), F.col("text").alias("_text"))
+    assert [_fewest(rows, n).distinct().count() for n in (1, 7, 40, 100)] == [1, 7, 40, 40] and _fewest(rows, 100).count() == 40
+
+
 def test_only_so_many_rows_are_learnt_from(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("quality"))

@@ -38,3 +38,11 @@ def test_entry_without_this_subpackage(tmp_path):
             (tmp_path / inside).write_bytes(path.read_bytes())
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+@pytest.mark.parametrize(("missing", "lost"), [("sentencepiece", {"op8_sentencepiece", "pipeline"}), ("xxhash", {"op2_ngram_join", "pipeline"})])
+def test_a_missing_library_takes_no_other_query_with_it(missing, lost):
+    root = str(Path(entry.__file__).resolve().parent)
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, check=True, capture_output=True, text=True)
+    assert set(entry.queries()) - set(out.stdout.split()) == lost and "left out" in out.stderr

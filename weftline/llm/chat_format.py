@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import prepared, table
+from weftline.llm.common import prepared, table, text_bytes
 
 #: Tokens and conversations of a pack, at most; one longer conversation is a pack of its own.
 PACK_TOKENS, PACK_CONVERSATIONS = 1 << 15, 1000
+#: Bytes of text that one task packs, about.
+PART_BYTES = 32 << 20
 
 #: The template's control strings; their ids follow the vocabulary's.
 CONTROLS = ["[INST] ", " [/INST]", "</s>", "[ROLE] ", " [SAYS] ", " [/ROLE]"]
@@ -203,14 +205,16 @@ def packed_conversations(rows: DataFrame, ranks_path: str | None = None, pattern
     ids, positions (unsigned 32 bit) and loss (a byte a token) are packed binaries, by token in depth-first order. A node is
     a turn: tokens node_start to node_end, its parent, and the flat starts and ends of the token intervals it attends to
     besides itself. conversations names the pack's conversations, leaves their last nodes. Turns are ordered by turn, role
-    and text; repeated rows are turns of their own. A null role or text is empty. Rows with a null conv_id are one
-    conversation with a null id. Other columns are not read.
+    and text; repeated rows are turns of their own. A null role or text is empty. Nothing says that rows with a null conv_id belong
+    together, so each is a conversation of one turn with a null id, and they are no group. An empty table gives no packs; a very long text is
+    a turn as any other. Other columns are not read.
     """
     spark = prepared(rows.sparkSession)
     said = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("said"))
-    paths = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    paths = said.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
+    paths = paths.union(said.where("conv_id is null").select("conv_id", F.array("said")))
     key = F.array_join(F.transform("turns", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(rows) // PART_BYTES))
     ordered = paths.withColumn("key", key).repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
     return ordered.select("conv_id", "turns").mapInArrow(_packer(_shared(spark, ranks_path, pattern), most_tokens, most_conversations), PACK_SCHEMA)
 
@@ -241,6 +245,7 @@ def unpacked(packs: DataFrame, ranks_path: str | None = None, pattern: str | Non
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all conversations, and one of control strings, read as when they are packed and unpacked."""
     odd = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     read = unpacked(packed_conversations(rows.union(spark.createDataFrame(odd, rows.schema))))

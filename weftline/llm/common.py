@@ -16,16 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches that fit a worker's memory and with a checkpoint folder.
+    """The session with Arrow batches that fit a worker's memory and with a checkpoint folder; both settings stay.
 
-    The folder that the cluster names in spark.checkpoint.dir is used. Only where that is unset, as in local
-    tests, a temporary one is.
+    The folder that the cluster names in spark.checkpoint.dir is used. Only a local session may leave that unset, as in
+    tests, and gets a temporary one; elsewhere executors would not share it, so that is a RuntimeError.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
 

@@ -82,14 +82,17 @@ def _follow(s: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model:
-    """A model of the labels 0 and 1. At most settings.max_rows labelled rows are used, those with the least hash of
-    their id; rows without a label, an id or a document do not count. Repeated documents are used as often as they come.
-    Without any labelled row every score is 0.5. A null text has no features.
+    """A model of the labels 0 and 1. At most settings.max_rows labelled rows are used: the labels with the least hashes of
+    their ids, and of the rows that have these ids all if they are so few. Of more, as when an id is repeated, those with the least hashes of
+    id and text, each text once. Rows without a label, an id or a document do not count. Without any labelled row every score is 0.5. A
+    null text has no features. A very long text is one row of features, one for each distinct bucket.
     """
     prepared(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(settings.max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
+    if rows.count() > settings.max_rows:
+        rows = _fewest(rows, settings.max_rows)
     features = rows.select(F.xxhash64("_id").alias("key"), F.col("_label").alias("label"), F.col("_text").alias("text")).mapInArrow(_featurise(settings), "key long, label int, buckets binary, values binary")
     ordered = features.repartition(1).sortWithinPartitions("key", "label", "buckets", "values")
     made = ordered.mapInArrow(_follow(settings), "weights binary").first()  # no row if there is no partition
@@ -97,6 +100,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return Model(weights[:-1], float(weights[-1]), settings)
 
 
+def _fewest(rows: DataFrame, most: int) -> DataFrame:
+    """So many distinct rows of (_id, _label, _text) at most, whatever is repeated."""
+    keyed = rows.withColumns({"_a": F.xxhash64("_id"), "_b": F.xxhash64("_text"), "_c": F.col("_label")})
+    key = F.struct("_a", "_b", "_c")
+    last = keyed.select("_a", "_b", "_c").distinct().orderBy("_a", "_b", "_c").limit(most).agg(F.max(key).alias("last")).first().last
+    bound = F.struct(*(F.lit(x).cast(kind).alias(k) for k, x, kind in zip(("_a", "_b", "_c"), last, ("long", "long", "int"), strict=True)))
+    return keyed.where(key <= bound).groupBy("_a", "_b", "_c").agg(*(F.min(c).alias(c) for c in ("_id", "_label", "_text"))).drop("_a", "_b", "_c")
+
+
 def quality_score(spark: SparkSession, model: Model, text: Column) -> Column:
     """The model's score of a text, 0 to 1; a null or empty text has the score of the bias alone."""
     kept = spark.sparkContext.broadcast(pickle.dumps(model))
@@ -121,10 +133,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
+    """fit_quality without the labels of held-out rows."""
     return fit_quality(docs, labels.where(~held_out()))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_on_labels(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out().alias("held_out"), quality_score(spark, model, F.col("text")).alias("score"))

@@ -140,6 +140,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and ratios of all documents; the trusted ones are those with label 1."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 

@@ -122,7 +122,8 @@ def read_ranks(path: str) -> list[bytes]:
 def token_counts(spark: SparkSession, text: Column, scores: dict[bytes, float], pattern: str, most_tokens: int = MOST_TOKENS) -> Column:
     """A struct (n_tokens, n_pre_tokens) of a text; both are 0 for a null or empty one.
 
-    Ties between segmentations go to the one of fewer pieces. Where no piece fits, a byte is a piece. The score table is
+    Ties between segmentations go to the one of fewer pieces. Where no piece fits, a byte is a piece. Repeated rows have the same
+    counts; an empty table gives an empty one. A very long pre-token is walked as any other, its path held for one slice only. The score table is
     as large as the vocabulary and is broadcast.
     """
     shared = spark.sparkContext.broadcast((scores, pattern))
@@ -141,6 +142,7 @@ def count_documents(docs: DataFrame, ranks_path: str | None = None, pattern: str
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, by scores that are made from the ranks of the vocabulary."""
     return count_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
