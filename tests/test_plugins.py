@@ -211,3 +211,42 @@ def test_codes_belong_to_one_kind():
         Wrapper.annotated_param(int, "q")(int)
     with pytest.raises(InvalidOperationError):
         function_wrapper(None)(int)
+
+
+def test_run_once_tells_types_apart():
+    kind = run_once(lambda x=None, y=None: type(x if y is None else y).__name__)
+    assert [kind(v) for v in (1, 1.0, True, 1)] == ["int", "float", "bool", "int"]
+    assert [kind(y=v) for v in (1, 1.0, True)] == ["int", "float", "bool"]
+
+
+def test_run_once_tries_again_after_a_failure():
+    seen = []
+
+    @run_once
+    def fails_first(x):
+        seen.append(x)
+        if len(seen) == 1:
+            raise KeyError(x)
+        return x
+
+    with pytest.raises(KeyError):
+        fails_first(3)
+    assert fails_first(3) == 3 and fails_first(3) == 3 and seen == [3, 3]
+
+
+def test_candidates_are_asked_by_priority_and_only_when_needed():
+    asked = []
+
+    def condition(name, fits):
+        return lambda *a: asked.append(name) or fits
+
+    @conditional_broadcaster
+    def default(x):
+        return "default"
+
+    for name, priority in (("a", 0), ("b", 1), ("c", 1), ("d", 0), ("e", -1), ("f", 2)):
+        default.register(lambda x, name=name: name, condition(name, True), priority)
+    assert default(0) == ["f", "c", "b", "a", "d", "e"]
+    asked.clear()
+    results = default.run(0)
+    assert next(results) == "f" and asked == ["f"] and next(results) == "c" and asked == ["f", "c"]
