@@ -119,3 +119,15 @@ def test_batches_in_spark(spark, rows):
         yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64())})
 
     assert rows(R.batches_by_key(df, ["k"], total, "k:long,n:long")) == [(k, len(range(k, 1000, 7))) for k in range(7)]
+
+
+def test_null_and_nan_keys_are_one_group(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (None,)], "k double").repartition(3)
+    one = lambda t: pa.table({"k": t["k"].slice(0, 1), "n": pa.array([t.num_rows], pa.int64())})
+
+    def total(batches):
+        own = list(batches)
+        yield pa.RecordBatch.from_arrays([own[0].column(0).slice(0, 1), pa.array([sum(b.num_rows for b in own)], pa.int64())], names=["k", "n"])
+
+    for found in (R.merge_by_key(df, ["k"], one, "k:double,n:long"), R.batches_by_key(df, ["k"], total, "k:double,n:long")):
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == [(1.0, 1), (None, 3)]

@@ -200,15 +200,17 @@ def map_batches(df: DataFrame, func: Callable[[pa.RecordBatch], pa.RecordBatch],
 
 
 def merge_by_key(df: DataFrame, keys: list[str], func: Callable[[pa.Table], pa.Table], schema: Any) -> DataFrame:
-    """func on each key's rows as one table. A key's rows must fit a worker; see batches_by_key for those that do not."""
+    """func on each key's rows as one table. A key's rows must fit a worker; see batches_by_key for those that do not. NaN keys are null ones."""
+    from weftline.operators.verbs import nan_as_null
     from weftline.schema import Schema
 
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInArrow(func, Schema(schema).spark)
+    return nan_as_null(df, keys).groupBy(*[F.col(f"`{k}`") for k in keys]).applyInArrow(func, Schema(schema).spark)
 
 
 def batches_by_key(df: DataFrame, keys: list[str], func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """func on an iterator of each key's batches, which are never together in memory."""
+    """func on an iterator of each key's batches, which are never together in memory. NaN keys are null ones."""
+    from weftline.operators.verbs import nan_as_null
     from weftline.schema import Schema
 
-    ordered = df.repartition(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys])
+    ordered = nan_as_null(df, keys).repartition(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys])
     return ordered.mapInArrow(lambda batches: chain.from_iterable(func(own) for own in reslice_sorted(batches, keys)), Schema(schema).spark)
