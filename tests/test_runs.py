@@ -111,3 +111,34 @@ def test_group_apply_has_null_groups_and_a_fresh_index(spark, rows):
     out = groups.group_apply(df, ["k", "v"], lambda g: g.assign(n=len(g), top=g.index.max()), "k:str,v:double,n:long,top:long")
     assert {(r[0], r[1], r[2], r[3]) for r in rows(out.fillna(-1.0, ["v"]))} == {(None, 1.0, 1, 0), (None, -1.0, 2, 1), ("a", 1.0, 2, 1)}
     assert {r["n"] for r in groups.group_apply(df, [], lambda g: g.assign(n=len(g)), "k:str,v:double,n:long").collect()} == {5}
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_row_slices_of_long_runs(spark, blocks, keys, limit):
+    rng = random.Random(limit)
+    values = [v for v in (rng.choice(["a", None, "b"]) for _ in range(12)) for _ in range(rng.choice([1, 2, 20, 60]))]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, k string").repartition(5)
+    found = runs.row_slices(df, keys, ["i"], limit).orderBy("i").collect()
+    run_of, at, expected = plain_runs(values) if keys else [0] * len(values), {}, []
+    for r in run_of:
+        expected.append((r, at.get(r, 0) // limit))
+        at[r] = at.get(r, 0) + 1
+    assert [(r["run_no"], r["slice_no"]) for r in found] == expected and found[0].asDict().keys() == {"i", "k", "run_no", "slice_no"}
+
+
+def test_no_task_has_a_whole_run(spark, monkeypatch):
+    """One run over the whole table: its rows are numbered in many blocks, by no window that is partitioned by the run."""
+    monkeypatch.setattr(runs, "BLOCK_ROWS", 50)
+    df = spark.range(2000).select(F.col("id").alias("i"), F.lit("x").alias("k"))
+    out = runs.row_slices(df, ["k"], ["i"], 7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__block" in line for line in plan.splitlines() if line.strip(" :+-").startswith("Window"))
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 1 and out.agg(F.max("slice_no")).first()[0] == 1999 // 7
+
+
+def test_row_slices_by_partition(spark):
+    df = spark.createDataFrame([("p", i, i // 5) for i in range(12)] + [("q", i, 0) for i in range(7)], "p string, i int, k int")
+    found = runs.row_slices(df, ["k"], ["i"], 2, ["p"]).orderBy("p", "i").collect()
+    assert [(r["run_no"], r["slice_no"]) for r in found] == [(i // 5, i % 5 // 2) for i in range(12)] + [(0, i // 2) for i in range(7)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -57,29 +58,49 @@ def _blocks(df: DataFrame, order: str) -> DataFrame:
 def run_numbers(df: DataFrame, keys: list[str], order_by: list[str], partition_by: list[str] | None = None, name: str = "run_no") -> DataFrame:
     """Adds the number, from 0, of each row's run: consecutive rows, in order, whose keys are equal (null equals null).
 
-    A key that comes back after another one begins a new run. The order must be total for a defined result.
+    A key that comes back after another one begins a new run. The order must be total for a defined result. Without partition_by its
+    first column must be a number or a time, and one of many values: rows of one value are in one block.
     """
     if not keys:
         return df.withColumn(name, F.lit(0).cast("long"))
-    same = [comparable(df, k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    return _numbered(df, keys, order_by, partition_by, name).drop("__at")
+
+
+def _numbered(df: DataFrame, keys: list[str], order_by: list[str], partition_by: list[str] | None, name: str) -> DataFrame:
+    """Adds run numbers and __at, the place of a row in its run, both from 0."""
+    same = [comparable(df, k).alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
     df = df.select("*", F.struct(*same).alias("__keys"))
     order = [F.col(f"`{c}`") for c in order_by]
     if partition_by:
         w = Window.partitionBy(*[F.col(f"`{c}`") for c in partition_by]).orderBy(*order)
-        df = _changes(df, w)
-        return df.withColumn(name, F.sum("__new").over(w).cast("long")).drop("__keys", "__new")
+        return _placed(_changes(df, w), w).withColumns({name: F.col("__local").cast("long"), "__at": F.col("__row") - F.col("__start")}).drop("__keys", "__new", "__local", "__row", "__start")
     df = _blocks(df, order_by[0])
     w = Window.partitionBy("__block").orderBy(*order)
-    df = _changes(df, w).withColumn("__local", F.sum("__new").over(w))
+    df = _placed(_changes(df, w), w)
     place = F.struct(*order)
-    ends = df.groupBy("__block").agg(F.min_by("__keys", place).alias("first"), F.max_by("__keys", place).alias("last"), F.max("__local").alias("runs"))
+    sums = {"first": F.min_by("__keys", place), "last": F.max_by("__keys", place), "runs": F.max("__local"), "rows": F.count("*"), "tail": F.max("__start")}
+    ends = df.groupBy("__block").agg(*(x.alias(k) for k, x in sums.items()))  # MOST_BLOCKS rows at most
     before = Window.orderBy("__block")
-    step = F.when(F.lag("__block").over(before).isNotNull() & ~_equal(F.lag("last").over(before), F.col("first"), len(keys)), 1).otherwise(0)
-    ends = ends.withColumn("step", step)
-    offset = F.sum("step").over(before) + F.coalesce(F.sum("runs").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.select("__block", offset.alias("__offset"))  # MOST_BLOCKS rows at most
+    above = before.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.lag("__block").over(before).isNotNull() & ~_equal(F.lag("last").over(before), F.col("first"), max(1, len(keys)))
+    ends = ends.withColumns({"step": F.when(begins, 1).otherwise(0), "above": F.coalesce(F.sum("rows").over(above), F.lit(0))})
+    offset = F.sum("step").over(before) + F.coalesce(F.sum("runs").over(above), F.lit(0))
+    # where the last run of a block begins, unless it goes on from the block before; so where the first run of a block begins
+    tail = F.when((F.col("runs") > 0) | (F.col("step") == 1) | (F.col("above") == 0), F.col("above") + F.col("tail"))
+    ends = ends.withColumns({"offset": offset, "tail": tail})
+    begun = F.when((F.col("step") == 1) | (F.col("above") == 0), F.col("above")).otherwise(F.last("tail", ignorenulls=True).over(above))
+    ends = ends.select("__block", F.col("offset").alias("__offset"), F.col("above").alias("__above"), begun.alias("__begun"))
     df = df.join(F.broadcast(ends), "__block")
-    return df.withColumn(name, (F.col("__local") + F.col("__offset")).cast("long")).drop("__keys", "__new", "__local", "__offset", "__block")
+    start = F.when(F.col("__local") == 0, F.col("__begun")).otherwise(F.col("__above") + F.col("__start"))
+    df = df.withColumns({name: (F.col("__local") + F.col("__offset")).cast("long"), "__at": F.col("__above") + F.col("__row") - start})
+    return df.drop("__keys", "__new", "__local", "__row", "__start", "__offset", "__above", "__begun", "__block")
+
+
+def _placed(df: DataFrame, w: Any) -> DataFrame:
+    """Adds, within a window, the number of the run, the row's place and the place at which its run begins, all from 0."""
+    rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({"__local": F.sum("__new").over(rows), "__row": (F.row_number().over(w) - 1).cast("long")})
+    return df.withColumn("__start", F.coalesce(F.max(F.when(F.col("__new") == 1, F.col("__row"))).over(rows), F.lit(0).cast("long")))
 
 
 def _equal(a: Column, b: Column, n: int) -> Column:
@@ -93,12 +114,14 @@ def _changes(df: DataFrame, w) -> DataFrame:
 
 
 def row_slices(df: DataFrame, keys: list[str], order_by: list[str], row_limit: int, partition_by: list[str] | None = None, run_name: str = "run_no", slice_name: str = "slice_no") -> DataFrame:
-    """Adds run numbers and, within each run, slices of at most row_limit rows, numbered from 0. 0: a run is one slice."""
-    df = run_numbers(df, keys, order_by, partition_by, run_name)
+    """Adds run numbers and, within each run, slices of at most row_limit rows, numbered from 0. 0: a run is one slice.
+
+    Without partition_by a run of any length is cut block by block: no task has a whole run.
+    """
     if row_limit <= 0:
-        return df.withColumn(slice_name, F.lit(0).cast("long"))
-    w = Window.partitionBy(*[F.col(f"`{c}`") for c in (partition_by or [])], run_name).orderBy(*[F.col(f"`{c}`") for c in order_by])
-    return df.withColumn(slice_name, F.floor((F.row_number().over(w) - 1) / row_limit).cast("long"))
+        return run_numbers(df, keys, order_by, partition_by, run_name).withColumn(slice_name, F.lit(0).cast("long"))
+    df = _numbered(df, keys, order_by, partition_by, run_name)
+    return df.withColumn(slice_name, F.floor(F.col("__at") / row_limit).cast("long")).drop("__at")
 
 
 def greedy_slices(sizes: np.ndarray, size_limit: float, row_limit: int = 0, cut: np.ndarray | None = None) -> np.ndarray:
