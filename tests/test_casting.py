@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -98,11 +99,47 @@ def test_rows_are_picked_in_order_and_nan_is_none(spark):
 def test_rows_to_native_values():
     schema = "a:int,b:str,c:bool,d:double,e:datetime,f:date,g:[int],h:{x:int},i:<str,int>,j:bytes"
     row = [1.1, True, "Yes", "nan", "2020-01-02 03:04:05", dt.datetime(2020, 1, 2, 3), "[1,2]", {"x": "3", "z": 1}, {"k": "4"}, b"x"]
-    (out,) = casting.apply_schema(schema, [row])
+    (out,) = casting.apply_schema(schema, [row], deep=True)
     assert out == [1, "True", True, None, dt.datetime(2020, 1, 2, 3, 4, 5), dt.date(2020, 1, 2), [1, 2], {"x": 3}, [("k", 4)], b"x"]
     assert list(casting.apply_schema("a:int,b:long", [[None, float("nan")]])) == [[None, None]]
     for kind, value in (("int", "1.1"), ("int", float("inf")), ("bool", "x"), ("datetime", 3), ("bytes", "x"), ("[int]", 3)):
         with pytest.raises(ValueError):
-            list(casting.apply_schema(f"a:{kind}", [[value]]))
+            list(casting.apply_schema(f"a:{kind}", [[value]], deep=True))
     with pytest.raises(NotImplementedError):
         list(casting.apply_schema("a:decimal(5,2)", [[1]]))
+
+
+@pytest.mark.parametrize("text", ['1,"w":2', "1}", "1} garbage", "1] [1", "1 2", "", "x", '1}, {"v": 2', "1]"])
+def test_text_that_is_no_single_json_value_fails(spark, text):
+    with pytest.raises(Exception, match="MALFORMED"):
+        casting.parse_json_columns(spark.createDataFrame([(text,)], "b string"), "b:long").collect()
+
+
+def test_plain_json_values(spark):
+    df = spark.createDataFrame([("1",), (" 2 ",), (None,), ("null",)], "b string")
+    assert [r[0] for r in casting.parse_json_columns(df, "b:long").collect()] == [1, 2, None, None]
+    assert casting.parse_json_columns(spark.createDataFrame([('"a,b}]"',)], "b string"), "b:str").first()[0] == "a,b}]"
+
+
+def test_unsafe_casts_cut_whole_numbers_to_their_bits(spark):
+    values = [0, 1, 127, 128, 255, 256, 300, -1, -128, -129, 65535, 1 << 31, (1 << 63) - 1, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in values], "a long")
+    for kind, dtype in (("byte", "int8"), ("short", "int16"), ("int", "int32"), ("ubyte", "uint8"), ("uint", "uint32"), ("ulong", "uint64")):
+        found = [int(r[0]) for r in casting.alter(df, f"a:{kind}", safe=False).collect()]
+        assert found == np.array(values, np.int64).astype(dtype).tolist(), kind
+        with pytest.raises(Exception, match="OVERFLOW|out of"):
+            casting.alter_function("a:long", f"a:{kind}")(df).collect()
+    assert casting.alter_function("a:long", "a:byte", safe=False)(df).count() == len(values)
+
+
+def test_rows_in_place_and_nested_values_as_they_are():
+    rows = [["1", [1.5], {"x": "3"}, [("k", 2)]]]
+    schema = "a:int,b:[int],c:{x:int},d:<str,int>"
+    (kept,) = casting.apply_schema(schema, rows)
+    assert kept == [1, [1.5], {"x": "3"}, [("k", 2)]] and rows[0][0] == "1" and kept[1] is rows[0][1]
+    (same,) = casting.apply_schema(schema, rows, copy=False, deep=True)
+    assert same is rows[0] and same == [1, [1], {"x": 3}, [("k", 2)]]
+    assert list(casting.apply_schema("b:[int]", [["[1]"]], deep=True)) == [[[1]]]
+    for kw in ({"deep": True, "str_as_json": False}, {"deep": False}):
+        with pytest.raises(ValueError):
+            list(casting.apply_schema("b:[int]", [["[1]"]], **kw))

@@ -52,26 +52,30 @@ def _bytes(v: Any) -> bytes:
 _PLAIN: dict[str, Callable[[Any], Any]] = {"null": lambda v: None, "str": str, "bool": _truth, "float": _floating, "double": _floating, "float16": _floating, "datetime": _time, "timestamp": _time, "date": _day, "bytes": _bytes}
 
 
-def _loaded(v: Any, kind: type | tuple) -> Any:
-    v = json.loads(v) if isinstance(v, str) else v.tolist() if hasattr(v, "tolist") else v
+def _loaded(v: Any, kind: type | tuple, text: bool = True) -> Any:
+    v = json.loads(v) if text and isinstance(v, str) else v.tolist() if hasattr(v, "tolist") else v
     if not isinstance(v, kind):
         raise TypeError(f"{v!r} is not {kind}")
     return v
 
 
-def converter(t: Type) -> Callable[[Any], Any]:
-    """None, NaT and NA are None; text is read as JSON where a nested type is wanted; a map is a list of pairs."""
+def converter(t: Type, deep: bool = True, text: bool = True) -> Callable[[Any], Any]:
+    """None, NaT and NA are None; a map is a list of pairs. Unless deep, nested values are only held to be of their kind and stay as they
+    are; with text, those that are text are read as JSON."""
+    if t.kind != "plain" and not deep:
+        kinds = {"list": (list,), "struct": (dict,), "map": (dict, list)}[t.kind]
+        return lambda v: None if _missing(v) else _loaded(v, kinds, False)
     if t.kind == "list":
-        item = converter(t.parts[0][1])
-        convert = lambda v: [item(x) for x in _loaded(v, (list, tuple))]
+        item = converter(t.parts[0][1], deep, text)
+        convert = lambda v: [item(x) for x in _loaded(v, (list, tuple), text)]
     elif t.kind == "struct":
-        parts = {n: converter(p) for n, p in t.parts}
-        convert = lambda v: {n: f(d.get(n)) for d in [_loaded(v, dict)] for n, f in parts.items()}
+        parts = {n: converter(p, deep, text) for n, p in t.parts}
+        convert = lambda v: {n: f(d.get(n)) for d in [_loaded(v, dict, text)] for n, f in parts.items()}
     elif t.kind == "map":
-        key, item = (converter(p) for _, p in t.parts)
+        key, item = (converter(p, deep, text) for _, p in t.parts)
 
         def convert(v: Any) -> list[tuple]:
-            v = _loaded(v, (dict, list, tuple))
+            v = _loaded(v, (dict, list, tuple), text)
             return [(key(a), item(b)) for a, b in (v.items() if isinstance(v, dict) else v)]
 
     elif t.name == "decimal":

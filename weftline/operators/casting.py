@@ -84,22 +84,41 @@ def cast_frame(df: DataFrame, schema: Any) -> DataFrame:
     return df.select([_typed(cast_column(_column(a), s, t), b, t) for (a, s), (b, t) in zip(old.items(), new.items(), strict=True)])
 
 
-def alter(df: DataFrame, schema: Any) -> DataFrame:
-    """Columns picked by name, put in order and cast; others go. A name that is missing is a KeyError."""
+#: Bits of whole numbers.
+_BITS = {"byte": 8, "short": 16, "int": 32, "long": 64, "ubyte": 8, "ushort": 16, "uint": 32, "ulong": 64}
+
+
+def wrapped(c: Column, new: Any) -> Column:
+    """A whole number cut to another type's bits, as unchecked casts do: 300 is 44 as a byte."""
+    kind = to_type(new)
+    span = 1 << _BITS[kind.name]
+    low = F.pmod(c.cast("decimal(38,0)"), F.lit(span).cast("decimal(38,0)") if span < 1 << 63 else F.lit(str(span)).cast("decimal(38,0)"))
+    if kind.name not in UNSIGNED_MAX:
+        half = F.lit(str(span // 2)).cast("decimal(38,0)")
+        low = F.when(low >= half, low - half - half).otherwise(low)
+    return low.cast(kind.spark)
+
+
+def alter(df: DataFrame, schema: Any, safe: bool = True) -> DataFrame:
+    """Columns picked by name, put in order and cast; others go. A name that is missing is a KeyError.
+
+    Unless it is safe, whole numbers that another type of them cannot hold are cut to its bits instead of failing.
+    """
     new, old = Schema(schema), Schema(df)
     if missing := [n for n in new.names if n not in old.names]:
         raise KeyError(missing[0])
     if old == new:
         return df
-    return df.select([_typed(cast_column(_column(n), old[n], t), n, t) for n, t in new.items()])
+    whole = lambda n, t: not safe and old[n] != t and old[n].name in _BITS and t.name in _BITS
+    return df.select([_typed(wrapped(_column(n), t) if whole(n, t) else cast_column(_column(n), old[n], t), n, t) for n, t in new.items()])
 
 
-def alter_function(old: Any, new: Any) -> Callable[[DataFrame], DataFrame]:
+def alter_function(old: Any, new: Any, safe: bool = True) -> Callable[[DataFrame], DataFrame]:
     """A function that alters frames of one schema to another; faults are raised here, not when it is used."""
     old, new = Schema(old), Schema(new)
     if missing := [n for n in new.names if n not in old.names]:
         raise KeyError(missing[0])
-    return (lambda df: df) if old == new else (lambda df: alter(df, new))
+    return (lambda df: df) if old == new else (lambda df: alter(df, new, safe))
 
 
 def replace_types(df: DataFrame, pairs: list[tuple[Any, Any]], recursive: bool = True) -> DataFrame:
@@ -139,10 +158,15 @@ def parse_json_columns(df: DataFrame, columns: Any) -> DataFrame:
 
 
 def _parsed(text: Column, kind: Any) -> Column:
-    """from_json reads objects and arrays; the text is wrapped so that plain values work as well."""
+    """from_json reads objects and arrays; the text is wrapped so that plain values work as well.
+
+    Text that is more than one value must not get through: what closes the object around it does not close a list, so it
+    has to be a list's one item as well.
+    """
     simple = kind if isinstance(kind, str) else kind.simpleString()
     whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), f"struct<v: {simple}>", {"mode": "FAILFAST"})
-    return whole["v"]
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.when(text.isNull() | F.coalesce(one, F.lit(False)), whole["v"]).otherwise(_fail("MALFORMED JSON value: ", text).cast(simple))
 
 
 def _assert_text(df: DataFrame, columns: list[str]) -> None:
@@ -159,14 +183,21 @@ def rows_of(df: DataFrame, columns: list[str] | None = None) -> Iterator[list[An
     return (list(r) for r in nan_as_null(chosen).toLocalIterator())
 
 
-def apply_schema(schema: Any, rows: Iterable[list[Any]]) -> Iterator[list[Any]]:
-    """Python rows with each value as the schema's type, lazily; a value that can't be one is a ValueError."""
+def apply_schema(schema: Any, rows: Iterable[list[Any]], copy: bool = True, deep: bool = False, str_as_json: bool = True) -> Iterator[list[Any]]:
+    """Python rows with each value as the schema's type, lazily; a value that can't be one is a ValueError.
+
+    Without copy the rows themselves are changed and given back. Nested values are only held to be a list, dict or list of pairs unless
+    deep, which converts what is in them and, with str_as_json, reads them from text.
+    """
     from weftline.functions.values import converter
 
-    convert = [converter(t) for t in Schema(schema).types]
+    convert = [converter(t, deep, str_as_json) for t in Schema(schema).types]
     for row in rows:
         try:
-            yield [f(v) for f, v in zip(convert, row, strict=True)]
+            made = [f(v) for f, v in zip(convert, row, strict=True)]
+            if not copy:
+                row[:] = made
+            yield made if copy else row
         except NotImplementedError:
             raise
         except Exception as e:
