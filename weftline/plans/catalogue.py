@@ -168,10 +168,11 @@ def replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zoned_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wall clock keeps its reading when it gets a zone, and gets it back without."""
     events = _read(spark, sf_dir, "events").select("event_id", "ts")
-    zoned = casting.cast_frame(events, "event_id:long,ts:timestamp(us,America/New_York)")
-    back = casting.cast_frame(zoned, "event_id:long,wall:datetime").select("event_id", F.date_format("wall", "yyyy-MM-dd HH:mm:ss").alias("wall"))
+    zone = "timestamp(us,America/New_York)"
+    zoned = casting.cast_frame(events.select("event_id", "ts", F.col("ts").alias("wall")), f"event_id:long,ts:{zone},wall:{zone}")
+    back = casting.cast_frame(zoned, f"event_id:long,ts:{zone},wall:datetime")
     utc = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("ts").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
-    return back.join(zoned.select("event_id", utc.alias("utc")), "event_id")
+    return back.select("event_id", utc.alias("utc"), F.date_format("wall", "yyyy-MM-dd HH:mm:ss").alias("wall"))
 
 
 @_query("json_declared", "select event_id, (props->>'k')::bigint as k from events")
@@ -248,37 +249,74 @@ def reslice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.agg(F.sum("total").alias("total"), F.sum("n").alias("n"), (F.max("n") <= 1000).alias("bounded"))
 
 
-@_query("merge_by_key", "select l_returnflag, l_linestatus, count(*)::bigint as n from lineitem group by all")
+@_query("merge_by_key", "select l_suppkey, count(*)::bigint as n from lineitem group by all")
 def merge_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
+    """A supplier has some hundred lines at any size of the table."""
+    items = _read(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey as long) as l_suppkey")
 
     def count(rows: pa.Table) -> pa.Table:
         return rows.slice(0, 1).append_column("n", pa.array([rows.num_rows], pa.int64()))
 
-    return reslice.merge_by_key(items, ["l_returnflag", "l_linestatus"], count, "l_returnflag:str,l_linestatus:str,n:long")
+    return reslice.merge_by_key(items, ["l_suppkey"], count, "l_suppkey:long,n:long")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a key's batches: its key and the number of its rows."""
+    first, n = None, 0
+    for b in batches:
+        first, n = first or b.slice(0, 1), n + b.num_rows
+    yield pa.RecordBatch.from_arrays([*first.columns, pa.array([n], pa.int64())], names=[*first.schema.names, "n"])
+
+
+@_query("batches_null_keys", "select case when user_id % 40 < 2 then null else user_id % 40 end::double as k, count(*)::bigint as n from events group by 1")
+def batches_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and NaN keys are one group."""
+    keys = "case user_id % 40 when 0 then null when 1 then double('NaN') else double(user_id % 40) end as k"
+    return reslice.batches_by_key(_read(spark, sf_dir, "events").selectExpr(keys), ["k"], _counted, "k:double,n:long")
+
+
+@_query("merge_null_keys", "select case when user_id % 400 < 2 then null else user_id % 400 end::double as k, count(*)::bigint as n from events group by 1")
+def merge_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = "case user_id % 400 when 0 then null when 1 then double('NaN') else double(user_id % 400) end as k"
+
+    def count(rows: pa.Table) -> pa.Table:
+        return rows.slice(0, 1).append_column("n", pa.array([rows.num_rows], pa.int64()))
+
+    return reslice.merge_by_key(_read(spark, sf_dir, "events").selectExpr(keys), ["k"], count, "k:double,n:long")
 
 
 @_query("batches_by_key", "select o_custkey, count(*)::bigint as n from orders group by all")
 def batches_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key's batches one after another, never together in memory."""
+    return reslice.batches_by_key(_read(spark, sf_dir, "orders").selectExpr("cast(o_custkey as long) as o_custkey"), ["o_custkey"], _counted, "o_custkey:long,n:long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = None, 0
-        for b in batches:
-            key, n = b.column(0)[0], n + b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([n], pa.int64())], names=["o_custkey", "n"])
 
-    return reslice.batches_by_key(_read(spark, sf_dir, "orders").select("o_custkey"), ["o_custkey"], count, "o_custkey:long,n:long")
+# the namespace's bytes and the name, hashed; then the version's and the variant's bits
+_UUID5 = """with h as (select n_name, sha1('\\x6B\\xA7\\xB8\\x10\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::blob || encode(n_name)) as s from nation)
+select n_name, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', s[17]) - 1) % 4, 1) || s[18:20] || '-' || s[21:32] as u from h"""
 
 
-@_query("uuid5_column", "select count(distinct n_name)::bigint as ids, 36::bigint as width, true as marked from nation")
+@_query("uuid5_column", _UUID5)
 def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from weftline.functions.hashing import uuid5_column
 
-    ids = _read(spark, sf_dir, "nation").select(uuid5_column(uuid.NAMESPACE_DNS, F.col("n_name")).alias("u"))
-    return ids.agg(F.countDistinct("u").alias("ids"), F.max(F.length("u")).cast("long").alias("width"), F.every(F.col("u").rlike("^.{14}5.{4}[89ab]")).alias("marked"))
+    return _read(spark, sf_dir, "nation").select("n_name", uuid5_column(uuid.NAMESPACE_DNS, F.col("n_name")).alias("u"))
+
+
+@_query("alter_unsafe", """select event_id, ((user_id + 128) % 256 - 128)::bigint as user_id, (event_id % 65536)::bigint as low from events""")
+def alter_unsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers cut to a byte and to an unsigned short."""
+    events = _read(spark, sf_dir, "events").selectExpr("event_id", "cast(user_id as long) as user_id", "cast(event_id as long) as low")
+    cut = casting.alter(events, "event_id:long,user_id:byte,low:ushort", safe=False)
+    return cut.selectExpr("event_id", "cast(user_id as long) as user_id", "cast(low as long) as low")
+
+
+@_query("row_slices_whole", "select event_id, ((row_number() over (order by event_id) - 1) // 1000)::bigint as slice_no from events")
+def row_slices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table is one run."""
+    return runs.row_slices(_read(spark, sf_dir, "events").select("event_id"), [], ["event_id"], 1000).select("event_id", "slice_no")
 
 
 @_query("flagship", "select c_nationkey, count(*)::bigint as customers from customer where c_nationkey in (select s_nationkey from supplier) group by c_nationkey")
