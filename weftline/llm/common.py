@@ -42,13 +42,32 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Edges of a node beyond which it is a hub: fewer nodes than edges / HUB are.
+HUB = 10_000
+#: So many hubs may be broadcast (at most 60 bytes each).
+MOST_HUBS = 1_000_000
+
+
+def _with_least(both: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
+    """Of (u, v) in both directions: (u, m) for each node, m being the least of it and its neighbours, and (u, v, m) for each row.
+
+    The rows of hubs get their m where they lie, so that no task has a hub; those of other nodes by a shuffle.
+    """
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    if edges > HUB:
+        hubs = least.where(F.col("n") > HUB).select("u", "m").checkpoint()
+        if 0 < hubs.count() <= MOST_HUBS:
+            rest = both.join(F.broadcast(hubs), "u", "left_anti").join(least.drop("n"), "u")
+            return least.drop("n"), rest.union(both.join(F.broadcast(hubs), "u"))
+    return least.drop("n"), both.join(least.drop("n"), "u")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (u, v), component being its smallest reachable node.
 
     Large-star and small-star rounds (Kiveris et al., 2014), each a minimum per node and a join, until no edge
-    moves. Edges are kept by checkpoint(), so a lost executor costs one round. A hub with many neighbours is
-    pre-aggregated before its shuffle, and adaptive execution splits its side of the join. A null end or a loop
-    links nothing; repeated edges count once.
+    moves. Edges are kept by checkpoint(), so a lost executor costs one round. A hub's neighbours are pre-aggregated before
+    the shuffle, and their rows are joined where they lie. A null end or a loop links nothing; repeated edges count once.
     """
     prepared(edges.sparkSession)
 
@@ -59,8 +78,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = state(e)
     for _ in range(most_rounds if before[0] else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, told = _with_least(both, before[0])
+        large = told.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -501,11 +501,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     walked = lambda rows: rows.groupBy("group", "lo", "hi").applyInArrow(_links(percent), "u binary, v binary")
     linked = components(_connected(inside.withColumnRenamed("component", "group"), "group", walked)).withColumnRenamed("node", "fp")
 
+    # tables that are joined by a key of many rows are stored first: a small one is broadcast, else the many rows are split at run time
     least = sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
+    member = least.join(linked, "fp", "left").checkpoint()
+    shared = member.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id")).checkpoint()
+    named = member.join(_few(shared), "component", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id")).checkpoint()
     least_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sets.drop("tokens").join(named, "fp", "left").select(F.col("doc_id").alias(id_col), "n_shingles", least_id.alias("component_id"), "text_hash", "component")
+    return sets.drop("tokens").join(_few(named), "fp", "left").select(F.col("doc_id").alias(id_col), "n_shingles", least_id.alias("component_id"), "text_hash", "component")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
