@@ -44,8 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = ["no_id", "id", "text_hash"]
     named = ngram_jaccard_join(docs).where("component is not null")
     named = named.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash", "component").checkpoint()
-    best = named.groupBy("component").agg(F.min(F.struct(*key)).alias("best"))
-    keys = named.groupBy(*key, "component").count().join(best, "component").select(*key, "count", (F.struct(*key) == F.col("best")).alias("stays"))
+    # of components of one row nothing goes; the others are stored, so that a large one is split where it is joined
+    best = named.groupBy("component").agg(F.min(F.struct(*key)).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best").checkpoint()
+    keys = named.join(_few(best), "component").select(*key, (F.struct(*key) == F.col("best")).alias("stays")).groupBy(*key, "stays").count()
     keys = keys.where("not stays or count > 1").checkpoint()
     lost, repeated = keys.where("not stays").drop("stays", "count"), keys.where("stays").drop("stays", "count")
 
