@@ -86,3 +86,17 @@ def test_files_as_rows(spark, tmp_path):
     fs = F.Files(spark)
     assert [r[0] for r in fs.texts(str(tmp_path / "a.txt")).collect()] == ["x\ny"]
     assert bytes(fs.binaries(str(tmp_path / "a.txt")).select("content").first()[0]) == b"x\ny"
+
+
+def test_folders_above_a_file_and_permissions(spark, tmp_path):
+    fs = F.Files(spark)
+    with pytest.raises(FileNotFoundError):
+        fs.write_bytes(f"{tmp_path}/no/such/x", b"1", create_dir=False)
+    assert not fs.exists(f"{tmp_path}/no")
+    fs.write_text(f"{tmp_path}/a/x", "1")
+    fs.write_text(f"{tmp_path}/a/y", "2", create_dir=False)
+    assert fs.read_text(f"{tmp_path}/a/y") == "2"
+    below = fs.folder(f"{tmp_path}/own", permissions=0o750)
+    assert (tmp_path / "own").stat().st_mode & 0o777 == 0o750 and below.exists("")
+    fs.folder(f"{tmp_path}/own", permissions=0o700)
+    assert (tmp_path / "own").stat().st_mode & 0o777 == 0o750

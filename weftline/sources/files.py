@@ -83,11 +83,15 @@ class Files:
         """Hadoop's file system of a URL; a subclass may give another."""
         return self._jvm.org.apache.hadoop.fs.Path(url).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def folder(self, path: str, recreate: bool = False) -> Files:
-        """A view below a folder, which is made if it is not there, or made anew."""
+    def folder(self, path: str, recreate: bool = False, permissions: int | None = None) -> Files:
+        """A view below a folder, which is made if it is not there, or made anew; it gets the permissions, such as 0o750, where it is made."""
         if recreate and self.exists(path):
             self.rm(path, recursive=True)
+        made = not self.exists(path)
         self.makedirs(path, exist_ok=True)
+        if permissions is not None and made:
+            fs, p = self._at(path)
+            fs.setPermission(p, self._jvm.org.apache.hadoop.fs.permission.FsPermission(oct(permissions)[2:]))
         return type(self)(self.spark, path if self.root is None else join(self.root, path.strip("/")))
 
     def exists(self, path: str) -> bool:
@@ -139,9 +143,11 @@ class Files:
             found = [s.getPath().toString() for s in fs.globStatus(p) or []]
         return sorted(abs_path(f) if f.startswith("file:") else f for f in found)
 
-    def write_bytes(self, path: str, data: bytes) -> None:
-        """Makes the folders above as well."""
+    def write_bytes(self, path: str, data: bytes, create_dir: bool = True) -> None:
+        """Makes the folders above as well, or without create_dir raises FileNotFoundError if they are missing."""
         fs, p = self._at(path)
+        if not create_dir and not fs.exists(p.getParent()):
+            raise FileNotFoundError(str(p.getParent()))
         out = fs.create(p, True)
         try:
             out.write(bytearray(data))
@@ -158,8 +164,8 @@ class Files:
         finally:
             stream.close()
 
-    def write_text(self, path: str, text: str) -> None:
-        self.write_bytes(path, text.encode())
+    def write_text(self, path: str, text: str, create_dir: bool = True) -> None:
+        self.write_bytes(path, text.encode(), create_dir)
 
     def read_text(self, path: str) -> str:
         return self.read_bytes(path).decode()
