@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.names import normalize_names
 from weftline.operators import casting, groups, reslice, runs, verbs
 from weftline.schema import Schema
 
@@ -319,6 +320,81 @@ def row_slices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.row_slices(_read(spark, sf_dir, "events").select("event_id"), [], ["event_id"], 1000).select("event_id", "slice_no")
 
 
+_TEXTS = "cast(event_id as string) as k", "if(event_id % 2 = 0, 'TRUE', '0') as b", "cast(value as string) as v", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as at", "date_format(ts, 'yyyy-MM-dd') as d"
+
+
+@_query("cast_texts", """select event_id as k, event_id % 2 = 0 as b, value as v, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as at, strftime(ts, '%Y-%m-%d') as d from events""")
+def cast_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of text as numbers, truth values, times and days."""
+    made = casting.alter(_read(spark, sf_dir, "events").selectExpr(*_TEXTS), "k:long,b:bool,v:double,at:datetime,d:date")
+    return made.withColumns({"at": F.date_format("at", "yyyy-MM-dd HH:mm:ss"), "d": F.date_format("d", "yyyy-MM-dd")})
+
+
+@_query("rows_converted", """select event_id as k, case when event_id % 5 <> 0 then event_id % 3 = 0 end as b, case when event_id % 7 <> 0 then value end as v,
+strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as at, strftime(ts, '%Y-%m-%d') as d, (props->>'k')::bigint + 1 as p from events""")
+def rows_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of text through the converters of untyped values: yes and no, NaN as text, ISO times, JSON."""
+    texts = (
+        "cast(event_id as string) as k", "case when event_id % 5 = 0 then null when event_id % 3 = 0 then 'Yes' else 'no' end as b", "if(event_id % 7 = 0, 'nan', cast(value as string)) as v",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") as at", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as d", "props as p",
+    )
+
+    schema = pa.schema([("k", pa.int64()), ("b", pa.bool_()), ("v", pa.float64()), ("at", pa.string()), ("d", pa.string()), ("p", pa.int64())])
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = casting.apply_schema("k:long,b:bool,v:double,at:datetime,d:date,p:{k:long}", (list(r.values()) for r in batch.to_pylist()), deep=True)
+            made = [(k, b, v, f"{at:%Y-%m-%d %H:%M:%S}", d.isoformat(), p["k"] + 1) for k, b, v, at, d, p in rows]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in made], schema=schema)
+
+    return _read(spark, sf_dir, "events").selectExpr(*texts).mapInArrow(convert, "k long, b boolean, v double, at string, d string, p long")
+
+
+@_query("replace_nested_types", "select n_nationkey::bigint as k, n_regionkey::bigint as r, 'array<struct<k:bigint,r:bigint>>' as type from nation")
+def replace_nested_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers inside lists of structs become long ones."""
+    nested = _read(spark, sf_dir, "nation").selectExpr("array(struct(cast(n_nationkey as int) as k, cast(n_regionkey as int) as r)) as a")
+    made = casting.replace_types(nested, [("int", "long")])
+    return made.selectExpr("a[0].k as k", "a[0].r as r", "typeof(a) as type")
+
+
+@_query("names_normalized", 'select n_nationkey::bigint as "_1_key", n_name as a_name, n_name as a_name_1, n_nationkey::bigint as _1 from nation')
+def names_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that need quotes, renamed at once."""
+    odd = _read(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as long) as `1 key`", "n_name as a_name", "n_name as `a name`", "cast(n_nationkey as long) as `__`")
+    return verbs.rename(odd, normalize_names(odd.columns))
+
+
+@_query("indicator", "select r_name, 7 as found from region")
+def indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verbs.with_indicator(_read(spark, sf_dir, "region").select("r_name"), "found", 7)
+
+
+@_query("slices_by_test", "select user_id, ((count(*) + 2) // 3)::bigint as slices, ((count(*) + 2) // 3)::bigint as firsts from events group by user_id")
+def slices_by_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of three rows of each user; what is not read of a slice is passed over."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = reslice.Peekable(x for b in batches for x in b.column(0).to_pylist())
+        user = ids.peek()
+        firsts = [next(own) for own in reslice.slices(ids, lambda n, item, last: n == 3)]
+        yield pa.RecordBatch.from_pydict({"user_id": [user], "slices": [len(firsts)], "firsts": [sum(f == user for f in firsts)]})
+
+    return reslice.batches_by_key(_read(spark, sf_dir, "events").select("user_id"), ["user_id"], count, "user_id:long,slices:long,firsts:long")
+
+
+@_query("slices_by_rows_and_size", "select user_id, ((count(*) + 1) // 2)::bigint as slices from events group by user_id")
+def slices_by_rows_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of one size fill a slice before five rows do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = reslice.Peekable(x for b in batches for x in b.column(0).to_pylist())
+        user = ids.peek()
+        yield pa.RecordBatch.from_pydict({"user_id": [user], "slices": [sum(1 for _ in reslice.size_row_slices(ids, lambda _: 10, row_limit=5, size_limit=29))]})
+
+    return reslice.batches_by_key(_read(spark, sf_dir, "events").select("user_id"), ["user_id"], count, "user_id:long,slices:long")
+
+
 @_query("flagship", "select c_nationkey, count(*)::bigint as customers from customer where c_nationkey in (select s_nationkey from supplier) group by c_nationkey")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of each nation that has a supplier."""
