@@ -5,8 +5,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm.kernels import chunks, shingle_sets
-from weftline.llm.quality_rules import base_counts, log_ratios, op3_quality_rules, quality_rules
+from weftline.llm.kernels import chunks, hashed_ngrams, shingle_sets
+from weftline.llm.quality_rules import base_counts, log_ratios, mean_ratios, op3_quality_rules, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,3 +78,24 @@ def test_labelled_quality_is_told_apart(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
     found = op3_quality_rules(spark, sf).join(labels, "doc_id").where("not base_failed").collect()
     assert found and all(r.kept == (r.quality == 1) for r in found)
+
+
+def test_ratios_leave_a_text_out_of_the_raw_corpus(spark):
+    rows = [(i, " ".join(f"w{(i * k * k) % 9}" for k in range(3 + i % 4))) for i in range(12)] + [(50, ""), (51, None), (3, "w1 w1 w1 other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {(r.doc_id, r.n_words): r.log_ratio for r in quality_rules(docs, spark.range(4).withColumnRenamed("id", "doc_id"), bits=6).collect()}
+    grams = []
+    for _, text in rows:
+        for _, data, offsets in chunks(pa.array([text], pa.string())):
+            grams.append(np.bincount(hashed_ngrams(data, offsets, 6)[0], minlength=64))
+    raw, target = np.sum(grams, axis=0), np.sum([g for g, (i, _) in zip(grams, rows, strict=True) if i < 4], axis=0)
+    p = np.log((target + 1) / (target.sum() + 64))
+    for own, (i, text) in zip(grams, rows, strict=True):
+        others = np.log((raw - own + 1) / (raw.sum() - own.sum() + 64))
+        expected = (own * (p - others)).sum() / own.sum() if own.sum() else 0.0
+        assert abs(found[i, len((text or "").split())] - expected) < 1e-9
+
+
+def test_a_table_that_reads_otherwise_in_the_second_pass_gives_finite_ratios():
+    found, bounds = np.array([1, 1, 1, 2]), np.array([0, 3, 4])
+    assert np.isfinite(mean_ratios(found, bounds, np.zeros(4), np.array([1.0, 2.0, 1.0, 1.0]))).all()

@@ -2,7 +2,8 @@
 
 Two passes over the texts. The first counts hashed unigrams and bigrams (2 ** bits buckets) of all documents and of the
 trusted ones: every task sums its own rows and sends a row a bucket. The second takes the counts of the rules and the
-mean log-ratio of each text's n-grams. The broadcast table has 2 ** bits entries at any input size.
+mean log-ratio of each text's n-grams, its own left out of the raw counts. The broadcast table has 2 ** bits entries at any input
+size.
 """
 
 from __future__ import annotations
@@ -96,8 +97,8 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> np.ndarray:
-    """log p_target - log p_raw by bucket over all rows, both with one added to each count. Without trusted rows all are 0."""
+def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams by bucket of all rows and of the trusted ones, one added to each."""
     prepared(docs.sparkSession)
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     few = F.broadcast if ids.count() <= MOST_BROADCAST else (lambda x: x)
@@ -107,22 +108,46 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     for bucket, r, t in counted.collect():  # 2 ** bits rows at most
         raw[bucket] += r
         target[bucket] += t
+    return raw, target
+
+
+def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if target.sum() == len(target):
-        return np.zeros(1 << bits)
+        return np.zeros(len(target))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def _measures(spark: SparkSession, ratios: np.ndarray, text: Column) -> Column:
-    kept = spark.sparkContext.broadcast(ratios)
-    bits = len(ratios).bit_length() - 1
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> np.ndarray:
+    """log p_target - log p_raw by bucket over all rows, both with one added to each count. Without trusted rows all are 0."""
+    return _log_ratios(*corpus_counts(docs, trusted, id_col, text_col, bits))
+
+
+def mean_ratios(found: np.ndarray, bounds: np.ndarray, ratios: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The mean log-ratio of each row's n-grams, against a raw corpus without the row itself.
+
+    A text in a small corpus makes up much of the counts of its own n-grams, which would speak against it.
+    """
+    values = ratios[found]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b > a:
+            row = found[a:b]
+            own = np.bincount(row, minlength=len(raw))[row]
+            values[a:b] -= np.log(np.maximum(raw[row] - own, 1.0) / raw[row])
+    return row_means(values, bounds) + np.log1p(-np.diff(bounds) / raw.sum())
+
+
+def _measures(spark: SparkSession, raw: np.ndarray, target: np.ndarray, text: Column) -> Column:
+    ratios = _log_ratios(raw, target)
+    kept = spark.sparkContext.broadcast((ratios, raw))
+    bits, blind = len(ratios).bit_length() - 1, not ratios.any()
 
     def measure(texts: pa.Array) -> pa.Array:
         counts, score = np.zeros((len(texts), 5), np.int64), np.zeros(len(texts))
         for row, data, offsets in chunks(texts):
             own = slice(row, row + len(offsets) - 1)
             counts[own] = base_counts(data, offsets)
-            found, bounds = hashed_ngrams(data, offsets, bits)
-            score[own] = row_means(kept.value[found], bounds)
+            if not blind:
+                score[own] = mean_ratios(*hashed_ngrams(data, offsets, bits), *kept.value)
         return pa.StructArray.from_arrays([*(pa.array(np.ascontiguousarray(counts[:, k])) for k in range(5)), pa.array(score)], [*_FIELDS, "log_ratio"])
 
     return F.arrow_udf(measure, ", ".join(f"{f} long" for f in _FIELDS) + ", log_ratio double")(text)
@@ -131,10 +156,12 @@ def _measures(spark: SparkSession, ratios: np.ndarray, text: Column) -> Column:
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """Id, counts, log_ratio, base_failed and kept of every row; trusted holds the ids of the target corpus.
 
-    A null or wordless text has no words, a ratio of 0, and fails the base. Rows may repeat; other columns are not read.
+    A null or wordless text has no words, a ratio of 0, and fails the base. Rows may repeat; other columns are not read. The ratio of
+    every text leaves its own n-grams out of the raw corpus; a trusted text's stay in the target, which favours it. Without trusted
+    rows all ratios are 0. An empty table gives an empty one, and a very long text is handled alone.
     """
-    ratios = log_ratios(docs, trusted, id_col, text_col, bits)
-    out = docs.select(F.col(id_col), _measures(docs.sparkSession, ratios, F.col(text_col).cast("string")).alias("m")).select(id_col, "m.*")
+    raw, target = corpus_counts(docs, trusted, id_col, text_col, bits)
+    out = docs.select(F.col(id_col), _measures(docs.sparkSession, raw, target, F.col(text_col).cast("string")).alias("m")).select(id_col, "m.*")
     out = out.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
