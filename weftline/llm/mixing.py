@@ -54,7 +54,8 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, DataFrame], budget: float
     """Adds `share`, in tokens, to leaves (domain, lang, source, tokens).
 
     weights has for a level a table of the level's columns from the root on, and weight (not negative). A node that is
-    missing, and every node of a level without a table, has weight 1.
+    missing, and every node of a level without a table, has weight 1. A node of weight 0 gets nothing; its documents still count
+    for what its ancestors can take, so a part of their budget may stay unused.
     """
     whole = leaves.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).cast("double").alias("capacity"))
     over: DataFrame | None = None
