@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.llm.kernels import chunks, hashed_ngrams, shingle_sets
-from weftline.llm.quality_rules import base_counts, log_ratios, mean_ratios, op3_quality_rules, quality_rules
+from weftline.llm.quality_rules import base_counts, bucket_bits, corpus_counts, log_ratios, mean_ratios, op3_quality_rules, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -99,3 +99,22 @@ def test_ratios_leave_a_text_out_of_the_raw_corpus(spark):
 def test_a_table_that_reads_otherwise_in_the_second_pass_gives_finite_ratios():
     found, bounds = np.array([1, 1, 1, 2]), np.array([0, 3, 4])
     assert np.isfinite(mean_ratios(found, bounds, np.zeros(4), np.array([1.0, 2.0, 1.0, 1.0]))).all()
+
+
+def test_buckets_grow_with_the_text(spark):
+    sizes = [bucket_bits(n) for n in (0, 1, 1 << 26, 1 << 28, 1 << 30, 30 << 30, 100 << 40)]
+    assert sizes == sorted(sizes) and sizes[0] == sizes[2] == 14 and sizes[3] == 15 and sizes[-1] == 21
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    raw, target = corpus_counts(docs, docs.where("doc_id = 1"))
+    assert len(raw) == 1 << 14 and raw.sum() - len(raw) == 6 == target.sum() - len(target)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 7), max_size=12), max_size=6))
+def test_mean_ratios_against_a_walk(rows):
+    raw = np.bincount([b for r in rows for b in r], minlength=8) + 1.0
+    ratios = np.linspace(-2, 2, 8)
+    found = mean_ratios(np.array([b for r in rows for b in r], int), np.cumsum([0, *map(len, rows)]), ratios, raw)
+    for row, mean in zip(rows, found, strict=True):
+        expected = sum(ratios[b] - np.log((raw[b] - row.count(b)) / raw[b]) for b in row) / len(row) + np.log1p(-len(row) / raw.sum()) if row else 0.0
+        assert abs(mean - expected) < 1e-9

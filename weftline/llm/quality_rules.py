@@ -1,9 +1,9 @@
 """Operator 3: rules on counts, then the hashed n-gram log-likelihood ratio of a trusted corpus against the raw one.
 
-Two passes over the texts. The first counts hashed unigrams and bigrams (2 ** bits buckets) of all documents and of the
-trusted ones: every task sums its own rows and sends a row a bucket. The second takes the counts of the rules and the
-mean log-ratio of each text's n-grams, its own left out of the raw counts. The broadcast table has 2 ** bits entries at any input
-size.
+The first pass counts hashed unigrams and bigrams of all documents and of the trusted ones: every task sums its own rows and
+sends a row a bucket. The second takes the counts of the rules and the mean log-ratio of each text's n-grams, its own left out of
+the raw counts. There are more buckets for more text (bucket_bits), and so a larger broadcast table: 16 bytes a bucket, 256 kB for
+64 MB of text, 2 MB for 30 GB and 32 MB for 100 TB.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import prepared, table
+from weftline.llm.common import prepared, table, text_bytes
 from weftline.llm.kernels import SEPARATOR, chunks, combine, hashed_ngrams, mix, prefix_hash, row_means, rows_of, runs, span_hash
 
-BITS = 14
+#: Buckets: 2 ** MIN_BITS at least, and twice as many for each eight times as many bytes of text.
+MIN_BITS = 14
 #: Below this mean log-ratio a text is not kept. A text like the raw corpus itself has 0.
 THRESHOLD = -0.1
 #: So many ids of trusted rows may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -97,17 +98,24 @@ def _count(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams by bucket of all rows and of the trusted ones, one added to each."""
+def bucket_bits(size: int) -> int:
+    """Bits of a bucket's number for so many bytes of text. Texts repeat their words, so n-grams a bucket grow as well."""
+    return max(MIN_BITS, 5 + -(-max(size - 1, 0).bit_length() // 3))
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams by bucket of all rows and of the trusted ones, one added to each; bits follow the bytes of all texts if not given."""
     prepared(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    bits = bucket_bits(text_bytes(texts)) if bits is None else bits
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     few = F.broadcast if ids.count() <= MOST_BROADCAST else (lambda x: x)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(few(ids.withColumn("trusted", F.lit(True))), "_id", "left")
+    rows = texts.join(few(ids.withColumn("trusted", F.lit(True))), "_id", "left")
     counted = rows.select("trusted", "text").mapInArrow(_count(bits), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.ones(1 << bits), np.ones(1 << bits)
-    for bucket, r, t in counted.collect():  # 2 ** bits rows at most
-        raw[bucket] += r
-        target[bucket] += t
+    bucket, r, t = (c.to_numpy() for c in counted.toArrow().columns)  # 2 ** bits rows at most
+    raw[bucket] += r
+    target[bucket] += t
     return raw, target
 
 
@@ -117,7 +125,7 @@ def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> np.ndarray:
     """log p_target - log p_raw by bucket over all rows, both with one added to each count. Without trusted rows all are 0."""
     return _log_ratios(*corpus_counts(docs, trusted, id_col, text_col, bits))
 
@@ -127,13 +135,15 @@ def mean_ratios(found: np.ndarray, bounds: np.ndarray, ratios: np.ndarray, raw:
 
     A text in a small corpus makes up much of the counts of its own n-grams, which would speak against it.
     """
-    values = ratios[found]
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b > a:
-            row = found[a:b]
-            own = np.bincount(row, minlength=len(raw))[row]
-            values[a:b] -= np.log(np.maximum(raw[row] - own, 1.0) / raw[row])
-    return row_means(values, bounds) + np.log1p(-np.diff(bounds) / raw.sum())
+    bits, counts = len(raw).bit_length() - 1, np.diff(bounds)
+    key = np.sort(np.repeat(np.arange(len(counts)), counts) << bits | found)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    own, bucket = np.diff(np.r_[first, len(key)]), key[first] & (len(raw) - 1)
+    lost = own * np.log(np.maximum(raw[bucket] - own, 1.0) / raw[bucket])
+    sums = np.zeros(len(counts))
+    if counts.any():
+        sums[counts > 0] = np.add.reduceat(lost, np.searchsorted(first, bounds[:-1][counts > 0]))
+    return row_means(ratios[found], bounds) - sums / np.maximum(counts, 1) + np.log1p(-counts / raw.sum())
 
 
 def _measures(spark: SparkSession, raw: np.ndarray, target: np.ndarray, text: Column) -> Column:
@@ -153,7 +163,7 @@ def _measures(spark: SparkSession, raw: np.ndarray, target: np.ndarray, text: Co
     return F.arrow_udf(measure, ", ".join(f"{f} long" for f in _FIELDS) + ", log_ratio double")(text)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Id, counts, log_ratio, base_failed and kept of every row; trusted holds the ids of the target corpus.
 
     A null or wordless text has no words, a ratio of 0, and fails the base. Rows may repeat; other columns are not read. The ratio of
