@@ -35,7 +35,9 @@ def brute(spark, docs, share, weights, max_epochs, seed):
     budget = share * sum(n for *_, n in docs)
 
     def below(path):
-        return sum(n for leaf, own in by_leaf.items() if leaf[: len(path)] == path for n in own.values()) * max_epochs
+        """What the documents below a node can take; those below a node of weight 0 take nothing."""
+        leaves = [x for x in by_leaf if x[: len(path)] == path and all(weights.get(x[:d], 1.0) > 0 for d in range(len(path) + 1, 4))]
+        return sum(n for leaf in leaves for n in by_leaf[leaf].values()) * max_epochs
 
     budgets = {(): budget}
     for depth in (1, 2, 3):
@@ -73,6 +75,7 @@ def corpus(n=300):
 
 @pytest.mark.parametrize("share,epochs,weights", [
     (0.5, 1, {}), (0.5, 2, {("d1",): 3.0}), (1.5, 2, {("d2",): 5.0, ("d2", "en"): 0.0}), (0.9, 1, {("d1", "en", "hot"): 10.0}), (2.0, 2, {}), (0.0, 1, {}),
+    (0.9, 1, {("d1", "en"): 0.0, ("d1", "de", "hot"): 0.0}),
 ])
 def test_budgets_and_prefixes(spark, monkeypatch, share, epochs, weights):
     monkeypatch.setattr(mixing, "BUCKETS", 16)
@@ -121,3 +124,11 @@ def test_query_keeps_its_budget(spark):
     for r in op5_mixing(spark, sf).collect():
         found[by_id[r.doc_id], r.doc_id] += 1
     assert found == expected
+
+
+def test_weight_0_withholds_nothing_from_others(spark):
+    """a's only language has weight 0, so b gets the whole budget."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "en", "s", "w " * 10) for i in range(20)], "doc_id long, domain string, lang string, source string, text string")
+    none = spark.createDataFrame([("a", "en", 0.0)], "domain string, lang string, weight double")
+    taken = mixed(docs, 0.5, {"lang": none}, domain=F.col("domain")).collect()
+    assert len(taken) == 10 and {r.domain for r in taken} == {"b"}

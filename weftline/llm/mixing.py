@@ -54,23 +54,26 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, DataFrame], budget: float
     """Adds `share`, in tokens, to leaves (domain, lang, source, tokens).
 
     weights has for a level a table of the level's columns from the root on, and weight (not negative). A node that is
-    missing, and every node of a level without a table, has weight 1. A node of weight 0 gets nothing; its documents still count
-    for what its ancestors can take, so a part of their budget may stay unused.
+    missing, and every node of a level without a table, has weight 1. A node of weight 0 gets nothing, and its documents do not
+    count for what its ancestors can take, so no budget is withheld from others for them.
     """
-    whole = leaves.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).cast("double").alias("capacity"))
-    over: DataFrame | None = None
-    for depth in range(1, len(LEVELS) + 1):
+    below = leaves.select(*LEVELS, "tokens", (F.col("tokens") * max_epochs).cast("double").alias("capacity"))
+    levels: list[DataFrame] = []  # from the leaves up
+    for depth in range(len(LEVELS), 0, -1):
         keys = list(LEVELS[:depth])
-        nodes = whole.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
+        nodes = below.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         if LEVELS[depth - 1] in weights:
             own = weights[LEVELS[depth - 1]].select(*keys, F.col("weight").cast("double").alias("weight"))
             nodes = _equal_join(nodes, own, keys, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
         else:
             nodes = nodes.withColumn("weight", F.lit(1.0))
-        if over is None:
-            nodes = nodes.withColumn("budget", F.lit(float(budget)))
-        else:
-            nodes = _equal_join(nodes, over, keys[:-1], "inner")
+        nodes = nodes.checkpoint()  # a row a node; read by the level above and on the way down
+        levels.append(nodes)
+        below = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0.0)))
+    over: DataFrame | None = None
+    for depth, nodes in enumerate(reversed(levels), 1):
+        keys = list(LEVELS[:depth])
+        nodes = nodes.withColumn("budget", F.lit(float(budget))) if over is None else _equal_join(nodes, over, keys[:-1], "inner")
         nodes = nodes.withColumns({k: F.lit(None).cast("string") for k in LEVELS[depth:]})
         over = dealt(nodes, keys[:-1], "share").select(*keys, "tokens", "share")
         if depth < len(LEVELS):
