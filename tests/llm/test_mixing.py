@@ -132,3 +132,13 @@ def test_weight_0_withholds_nothing_from_others(spark):
     none = spark.createDataFrame([("a", "en", 0.0)], "domain string, lang string, weight double")
     taken = mixed(docs, 0.5, {"lang": none}, domain=F.col("domain")).collect()
     assert len(taken) == 10 and {r.domain for r in taken} == {"b"}
+
+
+def test_many_siblings_are_dealt_as_a_level_is_raised(spark):
+    """Siblings with equal and unequal fills, weights of 0 and capacities of 0, for budgets from nothing to more than all."""
+    children = [(float([0, 1, 1, 3][i % 4]), float([0, 7, 8, 9, 500, 10**6 + i][i % 6])) for i in range(240)]
+    for budget in (0.0, 1.0, 600.0, 1e4, 2.5e7, 1e9):
+        nodes = spark.createDataFrame([(f"d{i}", w, c, budget) for i, (w, c) in enumerate(children)], "domain string, weight double, capacity double, budget double")
+        mixing.prepared(spark)
+        found = {r.domain: r.share for r in mixing.dealt(nodes, [], "share").collect()}
+        assert [found[f"d{i}"] for i in range(len(children))] == pytest.approx(fill(budget, children), abs=1e-6)

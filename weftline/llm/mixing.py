@@ -18,7 +18,9 @@ from weftline.llm.common import prepared, table
 
 #: Buckets of a leaf's order. The one bucket that the bound falls into is ordered exactly.
 BUCKETS = 4096
-#: A table of so many leaves is broadcast.
+#: Ranges of capacity for a weight, for each doubling of it, by which the level of siblings is looked for.
+RANGES = 64
+#: A table of so many leaves or nodes is broadcast.
 MOST_BROADCAST = 50_000
 
 LEVELS = ("domain", "lang", "source")
@@ -32,22 +34,39 @@ def n_words(text: Column) -> Column:
 def dealt(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """Adds the share of each node (columns budget of its parent, weight, capacity) as `name`.
 
-    Water-filling: of siblings in order of capacity for their weight, the first that the level of the rest does not
-    fill are filled; the others share what is left by weight.
+    Water-filling: of siblings in order of capacity for their weight (fill), those that the level reaches are filled; the others
+    share what is left by weight. Equal fills are summed, and so are ranges of them: the range that the level lies in is found from
+    sums, and its fills alone are walked in order. So no task has all children of a node.
     """
-    order = Window.partitionBy(*parents, "budget").orderBy("fill", *LEVELS) if parents else Window.partitionBy("budget").orderBy("fill", *LEVELS)
-    below, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    fill = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf")))
+    keys = [*parents, "budget"]
+    fill = F.when(F.col("weight") > 0, F.col("capacity") / F.when(F.col("weight") > 0, F.col("weight")))
     nodes = nodes.withColumn("fill", fill)
-    left = F.col("budget") - F.coalesce(F.sum("capacity").over(below), F.lit(0))
-    level = F.when(F.sum("weight").over(rest) > 0, left / F.sum("weight").over(rest)).otherwise(F.lit(0.0))
-    nodes = nodes.withColumn("level", F.greatest(level, F.lit(0.0)))
-    # once a node is not filled the later ones are not either, and all of them have its level
-    first = F.min(F.when(F.col("level") < F.col("fill"), F.struct("fill", *LEVELS, "level"))).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    nodes = nodes.withColumn("settled", first)
+    fills = nodes.where("weight > 0").groupBy(*keys, "fill").agg(F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"))
+    fills = fills.withColumn("range", F.coalesce(F.floor(F.log2("fill") * RANGES).cast("long"), F.lit(-(1 << 40)))).checkpoint()
+
+    ranges = fills.groupBy(*keys, "range").agg(F.max("fill").alias("most"), F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"))
+    order = Window.partitionBy(*keys).orderBy("range")
+    below, above = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    ranges = ranges.withColumns({"gone": F.coalesce(F.sum("capacity").over(below), F.lit(0.0)), "beyond": F.coalesce(F.sum("weight").over(above), F.lit(0.0))})
+    edge = ranges.where("gone + capacity + most * beyond > budget").groupBy(*keys).agg(F.min(F.struct("range", "gone", "beyond")).alias("edge"))
+
+    inside = _equal_join(fills, _few(edge), keys, "inner").where("range = edge.range")
+    order = Window.partitionBy(*keys).orderBy("fill")
+    below, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (F.col("budget") - F.col("edge.gone") - F.coalesce(F.sum("capacity").over(below), F.lit(0.0))) / (F.sum("weight").over(rest) + F.col("edge.beyond"))
+    inside = inside.withColumn("level", F.greatest(level, F.lit(0.0)))
+    # the first fill that the level does not reach; if by rounding there is none, the level is at the end of the range
+    first = F.coalesce(F.min(F.when(F.col("level") < F.col("fill"), F.struct("fill", "level"))), F.struct(F.max("fill").alias("fill"), F.max("fill").alias("level")))
+    settled = inside.groupBy(*keys).agg(first.alias("settled"))
     full = F.col("settled").isNull() | (F.col("fill") < F.col("settled.fill"))
     share = F.when(F.col("weight") <= 0, F.lit(0.0)).when(full, F.col("capacity")).otherwise(F.least(F.col("weight") * F.col("settled.level"), F.col("capacity")))
-    return nodes.withColumn(name, share).drop("fill", "level", "settled")
+    return _equal_join(nodes, _few(settled), keys, "left").withColumn(name, share).drop("fill", "settled")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The table, checkpointed, marked for a broadcast if it is small."""
+    rows = rows.checkpoint()
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[str, DataFrame], budget: float, max_epochs: int) -> DataFrame:
