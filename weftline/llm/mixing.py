@@ -40,7 +40,7 @@ def dealt(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """
     keys = [*parents, "budget"]
     fill = F.when(F.col("weight") > 0, F.col("capacity") / F.when(F.col("weight") > 0, F.col("weight")))
-    nodes = nodes.withColumn("fill", fill)
+    nodes = nodes.withColumn("fill", fill).checkpoint()  # read twice; a budget that is one number for all stays a column to join by
     fills = nodes.where("weight > 0").groupBy(*keys, "fill").agg(F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"))
     fills = fills.withColumn("range", F.coalesce(F.floor(F.log2("fill") * RANGES).cast("long"), F.lit(-(1 << 40)))).checkpoint()
 
