@@ -1,0 +1,29 @@
+import pyarrow as pa
+
+from weftline import schema
+from weftline.plans import helpers
+
+
+class Local:
+    """Stands in for a frame: its batches go through a mapped function here."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return Local(*(b.select(list(names)) for b in self.batches))
+
+    def mapInArrow(self, func, kinds):  # noqa: N802
+        return [r for b in func(iter(self.batches)) for r in b.to_pylist()]
+
+
+def test_nested_rows_parse_their_types_once_a_batch(monkeypatch):
+    def batch(ids):
+        return pa.RecordBatch.from_pylist([{"event_id": i, "ts": None, "event_type": f"t{i % 3}", "props": f'{{"k": {i * 2}, "other": [1]}}'} for i in ids])
+
+    parsed, parse = [], schema.parse_fields
+    monkeypatch.setattr(schema, "parse_fields", lambda text: parsed.append(text) or parse(text))
+    monkeypatch.setattr(helpers, "read", lambda *_: Local(batch(range(300)), batch(range(300, 500)), batch([500]).slice(0, 0)))
+    found = helpers.rows_nested(None, "")
+    assert found == [{"event_id": i, "k": i * 2, "listed": i * 3, "keyed": f"t{i % 3}", "whole": i % 2 == 0} for i in range(500)]
+    assert len(parsed) <= 4

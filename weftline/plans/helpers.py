@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,18 +31,23 @@ def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, Schema(schema).spark)
 
 
-def _mapped(df: DataFrame, row: Callable[[dict], dict], schema: str) -> DataFrame:
-    """A function of each row, batch by batch."""
+def _mapped_batches(df: DataFrame, rows: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """A function of the rows of each batch."""
     kinds = Schema(schema)
     arrow = kinds.arrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([row(r) for r in batch_to_dicts(batch)], schema=arrow)
+            yield pa.RecordBatch.from_pylist(list(rows(batch_to_dicts(batch))), schema=arrow)
 
     return df.mapInArrow(run, kinds.spark)
 
 
+def _mapped(df: DataFrame, row: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A function of each row, batch by batch."""
+    return _mapped_batches(df, lambda batch: map(row, batch), schema)
+
+
 @register("schema_printed", _DESCRIBED)
 def schema_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of tables with the types that a schema prints, read back from the printed text."""
@@ -121,18 +126,23 @@ def names_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("rows_nested", "select event_id, (props->>'k')::bigint as k, (props->>'k')::bigint + event_id as listed, event_type as keyed, event_id % 2 = 0 as whole from events")
 def rows_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structs, lists and maps from JSON; keys that a struct lacks are dropped, a repeated key is refused."""
+    """Structs, lists and maps from JSON; keys that a struct lacks are dropped, a repeated key is refused. Types are parsed once a batch."""
 
-    def row(r: dict) -> dict:
-        values = [r["props"], f'[{r["event_id"]}, "{load_json(r["props"])["k"]}"]', f'{{"kind": "{r["event_type"]}"}}', r["event_id"] % 2 == 0]
-        struct, listed, mapped, whole = next(casting.apply_schema("s:{k:long},l:[long],m:<str,str>,t:str", [values], deep=True))
+    def values(r: dict) -> list:
+        return [r["props"], f'[{r["event_id"]}, "{load_json(r["props"])["k"]}"]', f'{{"kind": "{r["event_type"]}"}}', r["event_id"] % 2 == 0]
+
+    def row(r: dict, struct: dict, listed: list, mapped: list, whole: str) -> dict:
         try:
             load_json('{"k": 1, "k": 2}')
         except KeyError:
             return {"event_id": r["event_id"], "k": struct["k"], "listed": sum(listed), "keyed": dict(mapped)["kind"], "whole": whole == "True"}
         raise AssertionError("a repeated key passed")
 
-    return _mapped(read(spark, sf_dir, "events").select("event_id", "event_type", "props"), row, "event_id:long,k:long,listed:long,keyed:str,whole:bool")
+    def nested(rows: list[dict]) -> Iterator[dict]:
+        made = casting.apply_schema("s:{k:long},l:[long],m:<str,str>,t:str", map(values, rows), deep=True)
+        return (row(r, *converted) for r, converted in zip(rows, made, strict=True))
+
+    return _mapped_batches(read(spark, sf_dir, "events").select("event_id", "event_type", "props"), nested, "event_id:long,k:long,listed:long,keyed:str,whole:bool")
 
 
 @register("rows_listed", "select n_name, n_nationkey::bigint as n_nationkey from nation")
